@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import simhash, urlfilter
+from ledgerlark.llm import secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_secrets": secrets.op4_secrets,
     "op8_url_filter": urlfilter.op8_url_filter,
 }
 
