@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import secrets, simhash, urlfilter
+from ledgerlark.llm import linededup, mixing, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op8_url_filter": urlfilter.op8_url_filter,
 }
 
 ORACLES = {
+    "op3_line_dedup": linededup.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
 }
