@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import linededup, mixing, secrets, simhash, urlfilter
+from ledgerlark.llm import linededup, media, mixing, packing, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_secrets": secrets.op4_secrets,
+    "op5_media": media.op5_media,
+    "op6_packing": packing.op6_packing,
     "op8_url_filter": urlfilter.op8_url_filter,
 }
 
