@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import linededup, media, mixing, packing, secrets, simhash, urlfilter
+from ledgerlark.llm import langid, linededup, media, mixing, packing, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
     "op8_url_filter": urlfilter.op8_url_filter,
+    "op9_language": langid.op9_language,
 }
 
 ORACLES = {
