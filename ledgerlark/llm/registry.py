@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import langid, linededup, media, mixing, packing, secrets, simhash, urlfilter
+from ledgerlark.llm import ibf, langid, linededup, media, mixing, packing, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
+    "op7_fingerprints": ibf.op7_fingerprints,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_language": langid.op9_language,
 }
