@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import ibf, langid, linededup, media, mixing, packing, secrets, simhash, urlfilter
+from ledgerlark.llm import ibf, langid, linededup, media, mixing, mixlm, packing, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_fingerprints": ibf.op7_fingerprints,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_language": langid.op9_language,
+    "op10_context_mixing": mixlm.op10_context_mixing,
 }
 
 ORACLES = {
