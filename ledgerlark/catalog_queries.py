@@ -2,41 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerlark import metric_queries, sql_shapes
+from ledgerlark.streaming import stream_queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerlark.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-
-    return keep
-
-
-@register(
-    "revenue_by_region",
-    """select r_name as region, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as revenue
-       from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-       join region on n_regionkey = r_regionkey group by r_name""",
-)
-def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    return (
-        t("orders")
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("r_name").alias("region"))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("revenue"))
-    )
+QUERIES = {**metric_queries.QUERIES, **sql_shapes.QUERIES, **stream_queries.QUERIES}
+ORACLES = {**metric_queries.ORACLES, **sql_shapes.ORACLES, **stream_queries.ORACLES}
