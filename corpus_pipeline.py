@@ -1,15 +1,71 @@
-"""The training-corpus pipeline: language ID, line dedup, near dedup, source mixing, packing."""
+"""The training-corpus pipeline: language ID, line dedup, near dedup, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is
+written as Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import langid, linededup, mixing, packing, similar
+from ledgerlark.llm.shared import WORD, fresh_path
+
+#: Texts that fit no language are scored about one over the number of languages.
+LEAST_SCORE = 0.26
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without text or letters, and those that fit no language that can be learned here."""
+    model = langid.learned(docs.select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id"))))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    judged = docs.select(row, langid.predictions(F.col("text"), model).alias("p"))
+    fits = F.col("p.score") >= LEAST_SCORE if model.langs else F.lit(True)
+    has_text = F.col("row.text").rlike(r"\p{L}")
+    return judged.where(has_text & fits).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeated runs of lines; a document of which nothing is left goes."""
+    done = linededup.deduplicate(docs)
+    columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    cut_down = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    kept = cut_down.select(*columns, "text", F.length("text").cast("long").alias("n_chars"))
+    return kept.select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of exact and near copies."""
+    return similar.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks for; a copy is a row."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document, or chunk of one, lies in what packed sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL has no fitted classifier and no such random draws; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
