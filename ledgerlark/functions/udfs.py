@@ -7,25 +7,26 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.nl.ask import to_spec
 from ledgerlark.plans.spec import QuerySpec
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def trimmed_mean(x: pd.Series) -> float:
     """The mean without the lowest and the highest tenth. An aggregate; a group has to fit its task."""
     cut = len(x) // 10
     return float(x.sort_values().iloc[cut : len(x) - cut].mean()) if len(x) else float("nan")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_case(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in batches:
         yield x.str.title()
 
 
-@F.udtf(returnType="slot string, value string")
+@F.udtf(returnType=T.StructType([T.StructField("slot", T.StringType()), T.StructField("value", T.StringType())]))
 class Explain:
     """select * from explain_question('...'): the slots of a question's spec, one row each."""
 
