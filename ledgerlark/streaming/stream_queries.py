@@ -80,3 +80,41 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _events(spark, sf_dir).where("event_type = 'click'")
     purchases = _events(spark, sf_dir).where("event_type = 'purchase'")
     return _emitted(spark, refresh.joined_streams(clicks, purchases, "2 hours"))
+
+
+@register(
+    "stream_sessions_closed",
+    f"""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute
+    then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as s from g),
+    e as (select user_id, min(ts) as a, max(ts) + interval 30 minute as b, count(*) as n from s group by user_id, s)
+    select user_id, cast(a as timestamptz) as start, cast(b as timestamptz) as "end", n from e where b <= {_CLOSED}""",
+)
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _emitted(spark, refresh.sessions(_events(spark, sf_dir)))
+
+
+@register(
+    "stream_running_state",
+    "select user_id, count(*) as n, arg_max(value, (ts, event_id)) as latest from events group by 1",
+)
+def running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of one's own; all there is arrives in one batch here, so each user comes out once."""
+    folder, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        out = refresh.running(_events(spark, sf_dir))
+        refresh.drain(out, f"{folder}/checkpoint", mode="update", sink=sink)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/0")
+
+
+@register("approximate_distinct")
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL to compare with: sketches differ between engines. A test holds it against the exact number."""
+    orders = load(spark, sf_dir, "orders")
+    return orders.groupBy("o_orderstatus").agg(
+        F.approx_count_distinct("o_custkey", 0.02).alias("about"), F.count_distinct("o_custkey").alias("exact")
+    )

@@ -18,3 +18,8 @@ def test_query(spark, name):
         assert df.count() == 0
     else:
         assert problem is None
+
+
+def test_approximate_distinct_is_near(spark):
+    for r in QUERIES["approximate_distinct"](spark, "/root/testdata/sf0.01").collect():
+        assert abs(r.about - r.exact) <= 0.08 * r.exact
