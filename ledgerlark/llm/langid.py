@@ -13,7 +13,7 @@ the driver, about 1 kB a row. Every whole text is scored; nothing is cut off.
 Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing could be
 learned; null lang rows are predicted but never learned from; null doc_id counts as not held out (its crc32 is
 unknown); a text of letters unlike all others still gets the best language, with a low score; repeated rows get
-equal predictions; an empty table gives no rows; other columns are not read.
+equal predictions; more than MOST_LANGUAGES labels are an error; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from ledgerlark.llm.shared import table
 BINS = (256, 2048, 6144)
 BLEND = (0.5, 1.0, 1.5)
 SAMPLE = 300
+MOST_LANGUAGES = 2000
 LANDMARKS = 128
 RIDGE = 1e-2
 SHARPNESS = 6.0
@@ -107,6 +108,11 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model:
         "n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     )
     ends = ranked.where(F.col("n") <= sample).groupBy("lang").agg(F.max("order").alias("end"))
+    # One row for each language; texts stay where they are.
+    known = ends.limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels are no set of languages")
+    ends = F.broadcast(docs.sparkSession.createDataFrame(known, ends.schema))
 
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
