@@ -19,11 +19,12 @@ LEAST_SCORE = 0.26
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without text or letters, and those that fit no language that can be learned here."""
     model = langid.learned(docs.select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id"))))
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    judged = docs.select(row, langid.predictions(F.col("text"), model).alias("p"))
-    fits = F.col("p.score") >= LEAST_SCORE if model.langs else F.lit(True)
-    has_text = F.col("row.text").rlike(r"\p{L}")
-    return judged.where(has_text & fits).select("row.*")
+    guess = "prediction"
+    while guess in docs.columns:
+        guess += "_"
+    judged = docs.withColumn(guess, langid.predictions(F.col("text"), model))
+    fits = F.col(guess)["score"] >= LEAST_SCORE if model.langs else F.lit(True)
+    return judged.where(F.col("text").rlike(r"\p{L}") & fits).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
