@@ -36,6 +36,13 @@ CAP = 3
 SEED = 17
 BLOCK_WORDS = 16_384
 SHARD_BLOCKS = 256
+#: Tables of sources or blocks of at most so many rows are broadcast, a few MB.
+SMALL = 20_000
+
+
+def looked_up(small: DataFrame) -> DataFrame:
+    """A table to join to: sent to all tasks if it is counted to be small, else left to a shuffle."""
+    return F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -158,7 +165,9 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SH
         .withColumn("full", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int"))
         .withColumn("need", (F.floor("target") - F.col("full") * F.col("source_size")).cast("long"))
     )
-    place = sources.select(F.col("source").alias("of"), "place", "source_size", "target", "blocks", "full", "need")
+    place = looked_up(
+        sources.select(F.col("source").alias("of"), "place", "source_size", "target", "blocks", "full", "need")
+    )
 
     def put(df: DataFrame) -> DataFrame:
         block = F.pmod(F.col("mix_key"), F.col("blocks"))
@@ -265,7 +274,7 @@ def taken(docs: DataFrame, **sizes: int) -> DataFrame:
     sized, how = plan(docs, **sizes)
     once_more = F.col("whole") | F.coalesce(F.array_contains("kept", F.col("mix_key")), F.lit(False))
     copies = F.col("passes") + F.coalesce(once_more, F.lit(False)).cast("int")
-    joined = sized.join(how, (F.col("place") == F.col("in_place")) & (F.col("block") == F.col("in_block")), "left")
+    joined = sized.join(looked_up(how), (F.col("place") == F.col("in_place")) & (F.col("block") == F.col("in_block")), "left")
     return joined.withColumn("copies", copies).withColumn(
         "shards", F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("copies"))
     )
