@@ -8,13 +8,13 @@ all that has to be grouped: roughly half the units, and each only with the windo
 Fingerprints that occur once are dropped. The windows around the others are the possible extensions of a match to
 both sides; a window is a repeat if the same units occurred earlier, in order of (doc_id, text hash, position).
 Every unit of a repeat is deleted. Overlapping repeats make a maximal repeated run, and each deleted unit equals a
-unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_WORDS words never count, as
-strings of one-word sentences repeat by chance.
+unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_CHARS characters (white space
+at the ends of units aside) never count, as strings of one-word sentences repeat by chance.
 
 Nothing is paired: fingerprints and windows are counted and joined to their first place only, so a line that is in
 every document costs as many rows as it has occurrences.
 
-Edge cases: null text stays null with 0 units; empty text has 0 units; texts of fewer than WINDOW units are kept;
+Edge cases: null text stays null; empty text stays empty; texts of fewer than WINDOW units are kept;
 rows of equal doc_id and text are the same document and keep or lose the same units; null doc_id sorts first; an
 empty table gives no rows; other columns are passed through by deduplicate(). White space before the first unit
 stays; a deleted unit takes the white space after it along.
@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.secrets import let
-from ledgerlark.llm.shared import SPACE, cut, table
+from ledgerlark.llm.shared import SPACE, cut, fresh_path, remove, table
 
 UNIT_WORDS = 12
 WINDOW = 3
-LEAST_WORDS = 6
+LEAST_CHARS = 30
 
 #: Up to UNIT_WORDS words of a line, of which only the last may end a sentence, and the white space behind.
+#: What was once matched is never given back, which spares the matcher its way back through every word.
 UNIT = (
-    rf"(?:[^{SPACE}]*[^{SPACE}.!?][\x20\x09\x0B-\x0D]+){{0,{UNIT_WORDS - 1}}}[^{SPACE}]+[{SPACE}]*"
+    rf"(?:[^{SPACE}]++(?<![.!?])[\x20\x09\x0B-\x0D]++){{0,{UNIT_WORDS - 1}}}[^{SPACE}]++[{SPACE}]*+"
 )
 LEAD = rf"^[{SPACE}]*"
 
@@ -47,92 +48,106 @@ def bare(unit: Column) -> Column:
     return F.rtrim(unit, F.lit(" \t\n\x0b\f\r"))
 
 
-def words_of(unit: Column) -> Column:
-    return F.size(F.split(bare(unit), f"[{SPACE}]+"))
-
-
-def fingerprints(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, window: int, least_chars: int) -> DataFrame:
     """(print, doc_id, text_key, around): each selected fingerprint with the windows (at, run) it is the least of."""
-    marked = docs.where("text is not null").select(
-        "doc_id",
-        F.xxhash64("text").alias("text_key"),
-        F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(bare(u)).alias("h"), words_of(u).alias("n"))).alias(
-            "units"
-        ),
-    )
 
-    def at(us: Column, i: Column) -> Column:
-        part = lambda k: F.get(us, i + k)
-        least = F.array_min(F.array(*(F.struct(part(k)["h"].alias("h"), F.lit(-k).alias("back")) for k in range(window))))
-        return let(
-            least,
-            lambda x: F.struct(
-                (i - x["back"]).alias("chosen"),
-                x["h"].alias("print"),
-                i.alias("at"),
-                F.xxhash64(*(part(k)["h"] for k in range(window))).alias("run"),
-                sum((part(k)["n"] for k in range(1, window)), part(0)["n"]).alias("words"),
-            ),
+    def windows(units: Column) -> Column:
+        """Each window that is long enough: its place, the hashes of its units, and where the chosen one stands."""
+        count = F.greatest(F.size(units) - window + 1, F.lit(0))
+
+        def zipped(hashes: Column, lengths: Column) -> Column:
+            part = [F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window)]
+            part += [F.slice(lengths, k + 1, count).alias(f"n{k}") for k in range(window)]
+            return F.filter(
+                F.arrays_zip(*part, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))).alias("at")),
+                lambda z: sum((z[f"n{k}"] for k in range(1, window)), z["n0"]) >= least_chars,
+            )
+
+        hashes = F.transform(units, lambda u: F.xxhash64(bare(u)))
+        lengths = F.transform(units, lambda u: F.length(bare(u)))
+        return zipped(hashes, lengths)
+
+    def chosen(z: Column) -> Column:
+        """The rightmost of the least hashes."""
+        h = [z[f"h{k}"] for k in range(window)]
+        least = F.least(*h) if window > 1 else h[0]
+        back = F.lit(0)
+        for k in range(1, window):
+            back = F.when(h[k] == least, F.lit(k)).otherwise(back)
+        return F.struct(
+            (z["at"] + back).alias("chosen"),
+            least.alias("print"),
+            z["at"].alias("at"),
+            F.xxhash64(*h).alias("run"),
         )
 
-    def selected(all_windows: Column) -> Column:
-        """Windows of one choice are neighbours, so they are looked for in a slice."""
+    def selected(ws: Column) -> Column:
+        """Windows of one choice are neighbours, so the others need not be looked through for them."""
+        firsts = F.filter(
+            F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.get(ws, i - 1)["chosen"].alias("was"))),
+            lambda x: ~x["was"].eqNullSafe(x["w"]["chosen"]),
+        )
         return F.transform(
-            F.array_distinct(F.transform(all_windows, lambda w: w["chosen"])),
-            lambda c: F.filter(
-                F.slice(all_windows, F.greatest(c - window + 2, F.lit(1)), window),
-                lambda w: (w["chosen"] == c) & (w["words"] >= least_words),
+            firsts,
+            lambda x: F.struct(
+                x["w"]["print"].alias("print"),
+                F.transform(
+                    F.filter(F.slice(ws, x["i"] + 1, F.lit(window)), lambda w: w["chosen"] == x["w"]["chosen"]),
+                    lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")),
+                ).alias("around"),
             ),
         )
 
-    every = let(F.col("units"), lambda us: F.transform(F.sequence(F.lit(0), F.size(us) - window), lambda i: at(us, i)))
-    rows = marked.where(F.size("units") >= window).select("doc_id", "text_key", F.explode(let(every, selected)).alias("ws"))
-    return rows.where(F.size("ws") > 0).select(
-        F.get("ws", F.lit(0))["print"].alias("print"),
-        "doc_id",
-        "text_key",
-        F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run"))).alias("around"),
-    )
+    prints = F.explode(let(units_of(F.col("text")), lambda us: let(F.transform(windows(us), chosen), selected)))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints.alias("w"))
+    return rows.select("w.print", "doc_id", "text_key", "w.around")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, text_key, starts): where the windows begin that occurred earlier."""
-    found = fingerprints(docs, window, least_words)
-    shared = found.groupBy("print").agg(F.count("*").alias("seen")).where("seen > 1").select(F.col("print").alias("p"))
+    # Written once, as it is both counted and joined; only the counted column is read for the count.
+    path = fresh_path(docs.sparkSession, "fingerprints")
+    fingerprints(docs, window, least_chars).write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    # Both counts are cut off before they are joined, so that joins with a very common line can be split.
+    shared = cut(found.groupBy("print").agg(F.count("*").alias("seen")).where("seen > 1").select(F.col("print").alias("p")))
     matched = found.join(shared, F.col("print") == F.col("p"), "left_semi")
     extended = cut(matched.select("doc_id", "text_key", F.explode("around").alias("w")).select("doc_id", "text_key", "w.*"))
+    remove(docs.sparkSession, path)  # extended stands on a checkpoint of its own
     place = F.struct("doc_id", "text_key", "at")
     runs = extended.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("seen"))
-    again = runs.where("seen > 1").select(F.col("run").alias("r"), "first")
+    again = cut(runs.where("seen > 1").select(F.col("run").alias("r"), "first"))
     later = extended.join(again, F.col("run") == F.col("r")).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(row, n_units, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
-    lean = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    cutting = repeats(docs.select("doc_id", "text"), window, least_words).select(
+def deduplicate(docs: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(row, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
+    lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    cutting = repeats(docs.select("doc_id", "text"), window, least_chars).select(
         F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "starts"
     )
     joined = lean.join(
-        cutting, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")), "left"
+        cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
     ).withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))))
-    units = units_of(F.col("text"))
+    text = F.col("row.text")
+    units = units_of(text)
     flags = F.map_from_entries(F.transform("gone", lambda i: F.struct(i, F.lit(True))))
     kept = let(
         flags, lambda gone: F.array_join(F.filter(units, lambda u, i: ~F.map_contains_key(gone, i)), "")
     )
     return joined.select(
         "row",
-        F.size(units).alias("n_units"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text"))
-        .otherwise(F.concat(F.regexp_extract("text", LEAD, 0), kept))
+        F.when(F.col("gone").isNull(), text).otherwise(F.concat(F.regexp_extract(text, LEAD, 0), kept))
         .alias("text"),
     )
 
 
-_UNIT_SQL = UNIT.replace("'", "''")
+#: The same units in syntax that DuckDB knows.
+_UNIT_SQL = (
+    rf"(?:[^{SPACE}]*[^{SPACE}.!?][\x20\x09\x0B-\x0D]+){{0,{UNIT_WORDS - 1}}}[^{SPACE}]+[{SPACE}]*"
+)
 ORACLE = f"""
 with u as (
   select doc_id, text, regexp_extract_all(text, '{_UNIT_SQL}') as units from documents),
@@ -140,11 +155,11 @@ b as (select doc_id, text, units, list_transform(units, lambda x: rtrim(x, ' ' |
     || chr(13))) as bare from u),
 w as (select doc_id, unnest(generate_series(1, len(bare) - {WINDOW - 1})) as pos, bare from b where len(bare) >= {WINDOW}),
 r as (select doc_id, pos, array_to_string(list_slice(bare, pos, pos + {WINDOW - 1}), chr(1)) as run from w),
-c as (select * from r where len(regexp_extract_all(run, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
+c as (select * from r where length(run) - {WINDOW - 1} >= {LEAST_CHARS}),
 l as (select doc_id, pos, row_number() over (partition by run order by doc_id, pos) as nth from c),
 g as (select distinct doc_id, unnest(generate_series(pos, pos + {WINDOW - 1})) as unit from l where nth > 1),
 k as (select doc_id, list(unit) as gone from g group by doc_id)
-select b.doc_id, cast(len(units) as bigint) as n_units, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+select b.doc_id, cast(coalesce(len(gone), 0) as bigint) as n_removed,
   case when gone is null then b.text else regexp_extract(b.text, '{LEAD}') || coalesce(array_to_string(
     [units[i] for i in generate_series(1, len(units)) if not list_contains(gone, i)], ''), '') end as text
 from b left join k on b.doc_id = k.doc_id
@@ -154,7 +169,6 @@ from b left join k on b.doc_id = k.doc_id
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("row.doc_id").alias("doc_id"),
-        F.col("n_units").cast("long").alias("n_units"),
         F.col("n_removed").cast("long").alias("n_removed"),
         "text",
     )

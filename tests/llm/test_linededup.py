@@ -7,31 +7,31 @@ from ledgerlark.llm import linededup
 SPACE = " \t\n\x0b\f\r"
 
 
-def brute(rows, window=linededup.WINDOW, least=linededup.LEAST_WORDS):
+def brute(rows, window=linededup.WINDOW, least=linededup.LEAST_CHARS):
     """doc index -> (units, removed, text), by the definition: windows that occurred earlier lose all units."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        units = re.findall(linededup.UNIT, text or "")
+        units = re.findall(linededup._UNIT_SQL, text or "")
         bare = [u.rstrip(SPACE) for u in units]
         gone = set()
         for at in range(len(units) - window + 1):
             run = tuple(bare[at : at + window])
-            if sum(len(re.split(f"[{SPACE}]+", u)) for u in run) < least:
+            if sum(map(len, run)) < least:
                 continue
             if run in seen:
                 gone.update(range(at, at + window))
             seen.add(run)
         lead = re.match(linededup.LEAD, text or "").group()
         kept = lead + "".join(u for j, u in enumerate(units) if j not in gone)
-        out[i] = (len(units), len(gone), text if not gone else kept)
+        out[i] = (len(gone), text if not gone else kept)
     return out
 
 
 def test_whole_table_and_oracle(spark, sf, docs_rows, sql_rows):
     got = {r.doc_id: tuple(r)[1:] for r in linededup.op3_line_dedup(spark, sf).collect()}
     want = brute([(r["doc_id"], r["text"]) for r in docs_rows])
-    assert got == want and any(r[1] for r in want.values())
-    assert got == {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in sql_rows(linededup.ORACLE)}
+    assert got == want and any(r[0] for r in want.values())
+    assert got == {r["doc_id"]: (r["n_removed"], r["text"]) for r in sql_rows(linededup.ORACLE)}
 
 
 def test_edges(spark):
@@ -53,11 +53,11 @@ def test_edges(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, units int, row string")
     out = linededup.deduplicate(df)
-    got = {r.row.doc_id: (r.n_units, r.n_removed, r.text) for r in out.collect()}
+    got = {r.row.doc_id: (r.n_removed, r.text) for r in out.collect()}
     want = brute(rows)
     for i, _ in rows:
         assert got[i] == want[i], i
-    assert got[9][2] == "" and got[11][2] == "" and got[10][1] == 0
+    assert got[9][1] == "" and got[11][1] == "" and got[10][0] == 0
     assert linededup.deduplicate(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, passage), (1, passage), (None, passage)], "doc_id long, text string")
     rows = linededup.deduplicate(twice).select(F.col("row.doc_id"), "text").collect()
