@@ -8,13 +8,13 @@ all that has to be grouped: roughly half the units, and each only with the windo
 Fingerprints that occur once are dropped. The windows around the others are the possible extensions of a match to
 both sides; a window is a repeat if the same units occurred earlier, in order of (doc_id, text hash, position).
 Every unit of a repeat is deleted. Overlapping repeats make a maximal repeated run, and each deleted unit equals a
-unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_CHARS characters (white space
-at the ends of units aside) never count, as strings of one-word sentences repeat by chance.
+unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_WORDS words never count, as
+strings of one-word sentences repeat by chance.
 
 Nothing is paired: fingerprints and windows are counted and joined to their first place only, so a line that is in
 every document costs as many rows as it has occurrences.
 
-Edge cases: null text stays null; empty text stays empty; texts of fewer than WINDOW units are kept;
+Edge cases: null text stays null with 0 units; empty text has 0 units; texts of fewer than WINDOW units are kept;
 rows of equal doc_id and text are the same document and keep or lose the same units; null doc_id sorts first; an
 empty table gives no rows; other columns are passed through by deduplicate(). White space before the first unit
 stays; a deleted unit takes the white space after it along.
@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.secrets import let
-from ledgerlark.llm.shared import SPACE, cut, fresh_path, remove, table
+from ledgerlark.llm.shared import SPACE, WORD, cut, fresh_path, remove, table
 
 UNIT_WORDS = 12
 WINDOW = 3
-LEAST_CHARS = 30
+LEAST_WORDS = 6
 
 #: Up to UNIT_WORDS words of a line, of which only the last may end a sentence, and the white space behind.
 #: What was once matched is never given back, which spares the matcher its way back through every word.
@@ -48,24 +48,34 @@ def bare(unit: Column) -> Column:
     return F.rtrim(unit, F.lit(" \t\n\x0b\f\r"))
 
 
-def fingerprints(docs: DataFrame, window: int, least_chars: int) -> DataFrame:
-    """(print, doc_id, text_key, around): each selected fingerprint with the windows (at, run) it is the least of."""
+def words_up_to(unit: Column, most: int) -> Column:
+    """Number of words of a unit, or `most` if it has more, for which only so many are looked at."""
+    enough = unit.rlike(rf"^(?:{WORD}+[{SPACE}]++){{{most - 1}}}{WORD}")
+    return F.when(enough, most).otherwise(F.size(F.regexp_extract_all(unit, F.lit(WORD), F.lit(0))))
+
+
+def fingerprints(docs: DataFrame, window: int, least_words: int) -> DataFrame:
+    """(print, doc_id, text_key, n_units, around): each selected fingerprint with the windows (at, run) it is the least of.
+
+    A document without windows has one row with a null print, so that its number of units is known as well.
+    """
+    # A unit has a word at least, so a window with a unit of so many words is long enough.
+    most = max(1, least_words - window + 1)
 
     def windows(units: Column) -> Column:
         """Each window that is long enough: its place, the hashes of its units, and where the chosen one stands."""
         count = F.greatest(F.size(units) - window + 1, F.lit(0))
 
-        def zipped(hashes: Column, lengths: Column) -> Column:
+        def zipped(hashes: Column, words: Column) -> Column:
             part = [F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window)]
-            part += [F.slice(lengths, k + 1, count).alias(f"n{k}") for k in range(window)]
+            part += [F.slice(words, k + 1, count).alias(f"n{k}") for k in range(window)]
             return F.filter(
                 F.arrays_zip(*part, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))).alias("at")),
-                lambda z: sum((z[f"n{k}"] for k in range(1, window)), z["n0"]) >= least_chars,
+                lambda z: sum((z[f"n{k}"] for k in range(1, window)), z["n0"]) >= least_words,
             )
 
         hashes = F.transform(units, lambda u: F.xxhash64(bare(u)))
-        lengths = F.transform(units, lambda u: F.length(bare(u)))
-        return zipped(hashes, lengths)
+        return zipped(hashes, F.transform(units, lambda u: words_up_to(u, most)))
 
     def chosen(z: Column) -> Column:
         """The rightmost of the least hashes."""
@@ -98,34 +108,42 @@ def fingerprints(docs: DataFrame, window: int, least_chars: int) -> DataFrame:
             ),
         )
 
-    prints = F.explode(let(units_of(F.col("text")), lambda us: let(F.transform(windows(us), chosen), selected)))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints.alias("w"))
-    return rows.select("w.print", "doc_id", "text_key", "w.around")
+    of_text = let(
+        units_of(F.col("text")),
+        lambda us: F.struct(
+            F.size(us).alias("n_units"), let(F.transform(windows(us), chosen), selected).alias("prints")
+        ),
+    )
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_text.alias("t"))
+    rows = texts.select("doc_id", "text_key", "t.n_units", F.explode_outer("t.prints").alias("w"))
+    return rows.select("w.print", "doc_id", "text_key", "n_units", "w.around")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, text_key, starts): where the windows begin that occurred earlier."""
+def repeats(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_key, n_units, starts): for each text, where the windows begin that occurred earlier."""
     # Written once, as it is both counted and joined; only the counted column is read for the count.
     path = fresh_path(docs.sparkSession, "fingerprints")
-    fingerprints(docs, window, least_chars).write.parquet(path)
+    fingerprints(docs, window, least_words).write.parquet(path)
     found = docs.sparkSession.read.parquet(path)
     # Both counts are cut off before they are joined, so that joins with a very common line can be split.
-    shared = cut(found.groupBy("print").agg(F.count("*").alias("seen")).where("seen > 1").select(F.col("print").alias("p")))
+    shared = cut(found.where("print is not null").groupBy("print").agg(F.count("*").alias("seen")).where("seen > 1").select(F.col("print").alias("p")))
     matched = found.join(shared, F.col("print") == F.col("p"), "left_semi")
     extended = cut(matched.select("doc_id", "text_key", F.explode("around").alias("w")).select("doc_id", "text_key", "w.*"))
-    remove(docs.sparkSession, path)  # extended stands on a checkpoint of its own
+    sizes = cut(found.select("doc_id", "text_key", "n_units").distinct())
+    remove(docs.sparkSession, path)  # extended and sizes stand on checkpoints of their own
     place = F.struct("doc_id", "text_key", "at")
     runs = extended.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("seen"))
     again = cut(runs.where("seen > 1").select(F.col("run").alias("r"), "first"))
     later = extended.join(again, F.col("run") == F.col("r")).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
+    both = later.select("doc_id", "text_key", "at").unionByName(sizes, allowMissingColumns=True)
+    return both.groupBy("doc_id", "text_key").agg(F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
+def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(row, n_units, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
     lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    cutting = repeats(docs.select("doc_id", "text"), window, least_chars).select(
-        F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "starts"
+    cutting = repeats(docs.select("doc_id", "text"), window, least_words).select(
+        F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "n_units", "starts"
     )
     joined = lean.join(
         cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
@@ -138,8 +156,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, least_chars: int = LEAST_
     )
     return joined.select(
         "row",
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("gone").isNull(), text).otherwise(F.concat(F.regexp_extract(text, LEAD, 0), kept))
+        "n_units",
+        F.size("gone").alias("n_removed"),
+        F.when(F.size("gone") == 0, text).otherwise(F.concat(F.regexp_extract(text, LEAD, 0), kept))
         .alias("text"),
     )
 
@@ -155,11 +174,11 @@ b as (select doc_id, text, units, list_transform(units, lambda x: rtrim(x, ' ' |
     || chr(13))) as bare from u),
 w as (select doc_id, unnest(generate_series(1, len(bare) - {WINDOW - 1})) as pos, bare from b where len(bare) >= {WINDOW}),
 r as (select doc_id, pos, array_to_string(list_slice(bare, pos, pos + {WINDOW - 1}), chr(1)) as run from w),
-c as (select * from r where length(run) - {WINDOW - 1} >= {LEAST_CHARS}),
+c as (select * from r where len(regexp_extract_all(run, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
 l as (select doc_id, pos, row_number() over (partition by run order by doc_id, pos) as nth from c),
 g as (select distinct doc_id, unnest(generate_series(pos, pos + {WINDOW - 1})) as unit from l where nth > 1),
 k as (select doc_id, list(unit) as gone from g group by doc_id)
-select b.doc_id, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+select b.doc_id, cast(len(units) as bigint) as n_units, cast(coalesce(len(gone), 0) as bigint) as n_removed,
   case when gone is null then b.text else regexp_extract(b.text, '{LEAD}') || coalesce(array_to_string(
     [units[i] for i in generate_series(1, len(units)) if not list_contains(gone, i)], ''), '') end as text
 from b left join k on b.doc_id = k.doc_id
@@ -169,6 +188,7 @@ from b left join k on b.doc_id = k.doc_id
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("row.doc_id").alias("doc_id"),
+        F.col("n_units").cast("long").alias("n_units"),
         F.col("n_removed").cast("long").alias("n_removed"),
         "text",
     )
