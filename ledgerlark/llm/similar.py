@@ -6,10 +6,13 @@ source of candidates; the other is agreement in a band of min-hashes (BANDS of R
 once in 30,000). Every candidate is verified by the exact similarity of the two sets of shingles.
 
 Texts with equal sets are one class from the start. In a band's bucket of at most PAIRS classes all pairs are
-candidates. A larger one is a group of near copies too many for pairs: there each class is compared with the class of
-the most documents, which is the text that was copied if it was copied as it is, and with ANCHORS members drawn by
-hash. A pair at 0.8 shares eight buckets of twenty on average, so a group meets many anchors; a link is lost only
-between two texts of such a group that are joined by no anchor of any bucket.
+candidates. A larger one is a group of near copies too many for pairs: there each class is compared with its anchors,
+which are the class of the most documents (the text that was copied, if it was copied as it is) and ANCHORS members
+drawn by hash. That joins nearly all of such a group. What it leaves apart is settled exactly: where a large bucket
+still holds several components, each class outside its largest one is a candidate with every class of another
+component of that bucket that it can be similar to. Of those, pairs are left out by proof only: by the sizes of their
+sets, and by the distances to the first anchor, which can differ by no more than the pair's own distance (Jaccard
+distance is a metric). So no bucket's size costs a link.
 
 Edge cases: null text has no words, and all texts without words are one group; repeated rows are a group of
 themselves; null doc_id sorts first; an empty table gives no rows; the columns of docs are returned as they are.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
@@ -52,9 +55,9 @@ def band_keys(distinct: np.ndarray) -> list[int]:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row_key, fp, set_key, bands) for every row of docs(doc_id, text)."""
+    """(doc_id, row_key, fp, set_key, n, bands) for every row of docs(doc_id, text)."""
 
-    @F.pandas_udf("fp long, set_key long, bands array<long>")
+    @F.pandas_udf("fp long, set_key long, n int, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -62,39 +65,90 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 hashes = shingle_hashes(text, words)
                 distinct = np.unique(hashes)
                 set_key = xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63)
-                rows.append((majority(hashes), set_key, band_keys(distinct)))
-            yield pd.DataFrame(rows, columns=["fp", "set_key", "bands"])
+                rows.append((majority(hashes), set_key, len(distinct), band_keys(distinct)))
+            yield pd.DataFrame(rows, columns=["fp", "set_key", "n", "bands"])
 
     row_key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     return docs.select("doc_id", row_key.alias("row_key"), of("text").alias("d")).select("doc_id", "row_key", "d.*")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes(set_key, fp, bands, copies) to be verified."""
+def may_reach(n: str, other: str, similarity: float) -> Column:
+    """Whether sets of such sizes can be so similar."""
+    return F.least(n, other) >= F.lit(similarity) * F.greatest(n, other)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(band, key, m, n, copies, members): the classes of every bucket that has two or more."""
+    filed = classes.select(F.col("set_key").alias("m"), "n", "copies", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(filed.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"))
+    return cut(filed.join(buckets, ["band", "key"]))
+
+
+def anchors_of(large: DataFrame) -> DataFrame:
+    """(band, key, anchors): the class of the most documents and ANCHORS drawn ones of each bucket."""
+    drawn = [F.min(F.struct(F.xxhash64("m", F.lit(i)), "m"))["m"] for i in range(ANCHORS)]
+    return cut(
+        large.groupBy("band", "key").agg(F.array(F.max(F.struct("copies", "m"))["m"], *drawn).alias("anchors"))
+    )
+
+
+def candidates(classes: DataFrame, members: DataFrame, anchors: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of classes(set_key, fp, n, bands, copies) to be verified first."""
     by_print = classes.groupBy("fp").agg(F.min("set_key").alias("node"))
     close = links(by_print)
     same = classes.join(by_print, "fp").where("set_key <> node").select(F.col("node").alias("a"), F.col("set_key").alias("b"))
-    filed = classes.select(F.col("set_key").alias("m"), "copies", F.posexplode("bands").alias("band", "key"))
-    buckets = cut(filed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(filed.join(buckets, ["band", "key"]))
-    small = members.where(F.col("n") <= PAIRS)
+    small = members.where(F.col("members") <= PAIRS)
     pairs = (
-        small.select("band", "key", F.col("m").alias("a"))
-        .join(small.select("band", "key", F.col("m").alias("b")), ["band", "key"])
-        .where("a < b")
+        small.select("band", "key", F.col("m").alias("a"), "n")
+        .join(small.select("band", "key", F.col("m").alias("b"), F.col("n").alias("n_b")), ["band", "key"])
+        .where(F.col("a") < F.col("b"))
+        .where(may_reach("n", "n_b", similarity))
         .select("a", "b")
     )
-    large = members.where(F.col("n") > PAIRS)
-    drawn = [F.min(F.struct(F.xxhash64("m", F.lit(i)), "m"))["m"] for i in range(ANCHORS)]
-    anchors = large.groupBy("band", "key").agg(F.array(F.max(F.struct("copies", "m"))["m"], *drawn).alias("anchors"))
-    to_anchors = large.join(cut(anchors), ["band", "key"]).select("m", F.explode("anchors").alias("anchor"))
+    to_anchors = members.join(anchors, ["band", "key"]).select("m", F.explode("anchors").alias("anchor"))
     to_anchors = to_anchors.where("m <> anchor").select(F.col("m").alias("a"), F.col("anchor").alias("b"))
-    every = close.union(same).union(pairs).union(to_anchors)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered(close.union(same).union(pairs).union(to_anchors))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs whose sets of shingles are so similar; texts(set_key, text) has a text of each class."""
+def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(band, key, m, n, part, minor): the classes of large buckets whose classes lie in several components."""
+    large = members.where(F.col("members") > PAIRS).select("band", "key", "m", "n")
+    parts = cut(
+        large.join(known, F.col("m") == F.col("node"), "left").select(
+            "band", "key", "m", "n", F.coalesce("component", "m").alias("part")
+        )
+    )
+    by_part = parts.groupBy("band", "key", "part").agg(F.count("*").alias("classes"))
+    split = by_part.groupBy("band", "key").agg(
+        F.max(F.struct("classes", "part"))["part"].alias("main"), F.count("*").alias("parts")
+    )
+    split = cut(split.where("parts > 1").select("band", "key", "main"))
+    return cut(parts.join(split, ["band", "key"]).select("band", "key", "m", "n", "part", (F.col("part") != F.col("main")).alias("minor")))
+
+
+def rest(left: DataFrame, anchors: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): what remains to be verified among unsettled classes, by their distance to their bucket's first anchor."""
+    width = max(1 - similarity, 0.01) + 1e-9
+    to_first = left.join(anchors.select("band", "key", F.get("anchors", F.lit(0)).alias("anchor")), ["band", "key"])
+    pairs = to_first.where("m <> anchor").select(F.col("m").alias("a"), F.col("anchor").alias("b"))
+    apart = cut(scored(cut(ordered(pairs)), texts, words).select("a", "b", (1 - F.col("similarity")).alias("distance")))
+    far = to_first.join(
+        apart, (F.least("m", "anchor") == F.col("a")) & (F.greatest("m", "anchor") == F.col("b")), "left"
+    ).select("band", "key", "m", "n", "part", "minor", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    far = cut(far.withColumn("ring", F.floor(F.col("distance") / width)))
+    ring = F.explode(F.array(*(F.col("ring") + i for i in (-1, 0, 1)))).alias("ring")
+    minor = far.where("minor").select("band", "key", F.col("m").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("distance").alias("distance_a"), ring)
+    met = minor.join(far, ["band", "key", "ring"]).where(F.col("part") != F.col("part_a"))
+    met = met.where(may_reach("n", "n_a", similarity) & (F.abs(F.col("distance") - F.col("distance_a")) <= width))
+    return ordered(met.select("a", F.col("m").alias("b")))
+
+
+def scored(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, common, either, similarity) of the pairs' sets of shingles; texts(set_key, text) has a text of each class."""
 
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,21 +162,35 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         known.select(F.col("set_key").alias("b"), F.col("set").alias("set_b")), "b"
     )
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    counted = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    either = F.col("sum") - F.col("common")
+    return counted.select("a", "b", "common", either.alias("either"), (F.col("common") / either).alias("similarity"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs whose sets of shingles are so similar."""
+    return scored(pairs, texts, words).where(F.col("common") >= F.lit(similarity) * F.col("either")).select("a", "b")
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row_key, group) for every row of docs(doc_id, text)."""
     rows = cut(described(docs, words))
     classes = rows.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("copies")
+        F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")
     )
     classes = cut(classes)
-    pairs = cut(candidates(classes))
+    members = bucket_members(classes)
+    anchors = anchors_of(members.where(F.col("members") > PAIRS))
+    pairs = cut(candidates(classes, members, anchors, similarity))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     firsts = classes.select("set_key", F.col("first.row_key").alias("k"))
     texts = docs.select(key.alias("k"), "text").join(firsts, "k").dropDuplicates(["set_key"])
-    known = connected_components(verified(pairs, texts, words, similarity))
+    found_links = cut(verified(pairs, texts, words, similarity))
+    known = connected_components(found_links)
+    left = unsettled(members, known)
+    if not left.isEmpty():
+        more = cut(rest(left, anchors, texts, words, similarity))
+        known = connected_components(found_links.union(verified(more, texts, words, similarity)))
     found = classes.select("set_key").join(known, F.col("set_key") == F.col("node"), "left")
     found = found.select("set_key", F.coalesce("component", "set_key").alias("group"))
     return rows.join(found, "set_key").select("doc_id", "row_key", "group")

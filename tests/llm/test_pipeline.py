@@ -52,6 +52,26 @@ def test_groups_against_brute_force(spark, docs_rows):
     assert similar.one_of_each(df.limit(0)).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """With every bucket called large and no other candidates, the exact way alone finds the chains of edits."""
+    monkeypatch.setattr(similar, "PAIRS", 1)
+    first = similar.candidates
+    monkeypatch.setattr(similar, "candidates", lambda *a: first(*a).limit(0))
+    rng = random.Random(9)
+    rows = []
+    for chain in range(3):
+        words = [f"c{chain}w{rng.randrange(900)}" for _ in range(200)]
+        for i in range(25):
+            rows.append((100 * chain + i, " ".join(words)))
+            at, many = rng.randrange(180), rng.choice((4, 8, 16, 20))
+            words[at : at + many] = [f"c{chain}n{rng.randrange(900)}" for _ in range(many)]
+    want = components(rows)
+    assert len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = similar.one_of_each(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_stages(spark, sf, docs_rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, {r["doc_id"]: r for r in docs_rows}
