@@ -38,6 +38,8 @@ BANDS = 20
 ROWS = 4
 PAIRS = 40
 ANCHORS = 6
+#: As many keys as are broadcast at most.
+FEW = 200_000
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -130,12 +132,13 @@ def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
     return cut(parts.join(split, ["band", "key"]).select("band", "key", "m", "n", "part", (F.col("part") != F.col("main")).alias("minor")))
 
 
-def rest(left: DataFrame, anchors: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def rest(left: DataFrame, anchors: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): what remains to be verified among unsettled classes, by their distance to their bucket's first anchor."""
     width = max(1 - similarity, 0.01) + 1e-9
     to_first = left.join(anchors.select("band", "key", F.get("anchors", F.lit(0)).alias("anchor")), ["band", "key"])
     pairs = to_first.where("m <> anchor").select(F.col("m").alias("a"), F.col("anchor").alias("b"))
-    apart = cut(scored(cut(ordered(pairs)), texts, words).select("a", "b", (1 - F.col("similarity")).alias("distance")))
+    pairs = cut(ordered(pairs))
+    apart = cut(scored(pairs, among(sets, pairs)).select("a", "b", (1 - F.col("similarity")).alias("distance")))
     far = to_first.join(
         apart, (F.least("m", "anchor") == F.col("a")) & (F.greatest("m", "anchor") == F.col("b")), "left"
     ).select("band", "key", "m", "n", "part", "minor", F.coalesce("distance", F.lit(0.0)).alias("distance"))
@@ -147,19 +150,32 @@ def rest(left: DataFrame, anchors: DataFrame, texts: DataFrame, words: int, simi
     return ordered(met.select("a", F.col("m").alias("b")))
 
 
-def scored(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(a, b, common, either, similarity) of the pairs' sets of shingles; texts(set_key, text) has a text of each class."""
+def keys_of(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
+
+
+def sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(set_key, set) for every class of pairs; texts(set_key, text) has a text of each class."""
 
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: np.unique(shingle_hashes(t, words)).view(np.int64))
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
-    known = texts.join(wanted, "set_key", "left_semi").select("set_key", sets("text").alias("set"))
-    known = cut(known)
-    both = pairs.join(known.select(F.col("set_key").alias("a"), F.col("set").alias("set_a")), "a").join(
-        known.select(F.col("set_key").alias("b"), F.col("set").alias("set_b")), "b"
+    return cut(texts.join(keys_of(pairs), "set_key", "left_semi").select("set_key", sets("text").alias("set")))
+
+
+def among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the classes of pairs, of which there may be few."""
+    wanted = keys_of(pairs)
+    few = wanted.count() <= FEW  # a key is a long
+    return cut(sets.join(F.broadcast(wanted) if few else wanted, "set_key", "left_semi"))
+
+
+def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, either, similarity) of the pairs' sets of shingles."""
+    both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("set_key").alias("b"), F.col("set").alias("set_b")), "b"
     )
     common = F.size(F.array_intersect("set_a", "set_b"))
     counted = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
@@ -167,9 +183,9 @@ def scored(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return counted.select("a", "b", "common", either.alias("either"), (F.col("common") / either).alias("similarity"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those pairs whose sets of shingles are so similar."""
-    return scored(pairs, texts, words).where(F.col("common") >= F.lit(similarity) * F.col("either")).select("a", "b")
+    return scored(pairs, sets).where(F.col("common") >= F.lit(similarity) * F.col("either")).select("a", "b")
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -185,12 +201,14 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     firsts = classes.select("set_key", F.col("first.row_key").alias("k"))
     texts = docs.select(key.alias("k"), "text").join(firsts, "k").dropDuplicates(["set_key"])
-    found_links = cut(verified(pairs, texts, words, similarity))
+    sets = sets_of(pairs, texts, words)
+    found_links = cut(verified(pairs, sets, similarity))
     known = connected_components(found_links)
     left = unsettled(members, known)
     if not left.isEmpty():
-        more = cut(rest(left, anchors, texts, words, similarity))
-        known = connected_components(found_links.union(verified(more, texts, words, similarity)))
+        # Each class of a large bucket has been compared with an anchor, so its set is there.
+        more = cut(rest(left, anchors, sets, similarity))
+        known = connected_components(found_links.union(verified(more, among(sets, more), similarity)))
     found = classes.select("set_key").join(known, F.col("set_key") == F.col("node"), "left")
     found = found.select("set_key", F.coalesce("component", "set_key").alias("group"))
     return rows.join(found, "set_key").select("doc_id", "row_key", "group")
