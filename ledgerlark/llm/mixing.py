@@ -174,20 +174,27 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SH
         return df.join(place, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("block", block).drop("of")
 
     # Running sums over a source's blocks in two steps, so that no task sees all blocks of a large source.
-    block = put(lean).groupBy("place", "block", "full", "need", "blocks").agg(F.sum("size").alias("words"))
+    block = put(lean).groupBy("place", "block", "full", "need").agg(F.sum("size").alias("words"))
     reach = cut(block.withColumn("super", F.floor(F.col("block") / 1024)))
-    supers = reach.groupBy("place", "super").agg(F.sum("words").alias("w"))
+    supers = reach.groupBy("place", "super").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
     ahead = Window.partitionBy("place").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)
     supers = supers.select(
-        F.col("place").alias("p"), F.col("super").alias("s"), F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("base")
+        F.col("place").alias("p"),
+        F.col("super").alias("s"),
+        F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base_n"),
+        F.sum("n").over(Window.partitionBy("place")).alias("filled"),
     )
-    inside = Window.partitionBy("place", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("place", "super").orderBy("block")
+    inside = in_order.rowsBetween(Window.unboundedPreceding, -1)
     reach = (
         reach.join(supers, (F.col("place") == F.col("p")) & (F.col("super") == F.col("s")))
         .withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
         .withColumn("whole", F.col("before") + F.col("words") <= F.col("need"))
         .withColumn("part", ~F.col("whole") & (F.col("before") < F.col("need")))
-        .select("place", "block", "full", "blocks", "whole", "part", (F.col("need") - F.col("before")).alias("room"))
+        # Blocks that no document fell into do not exist, so those that do are numbered without gaps.
+        .withColumn("nth", F.col("base_n") + F.row_number().over(in_order) - 1)
+        .select("place", "block", "full", "nth", "filled", "whole", "part", (F.col("need") - F.col("before")).alias("room"))
     )
     reach = cut(reach)
     last = reach.where("part").select(F.col("place").alias("p"), F.col("block").alias("b"), "room")
@@ -233,17 +240,17 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SH
     drawn = reach.join(fits, (F.col("place") == F.col("p")) & (F.col("block") == F.col("b")), "left").withColumn(
         "draws", F.col("full") + (F.col("whole") | F.col("part")).cast("int")
     )
-    drawn = cut(drawn.select("place", "block", "full", "blocks", "whole", "kept", "draws"))
+    drawn = cut(drawn.select("place", "block", "full", "nth", "filled", "whole", "kept", "draws"))
 
     epoch = F.explode(F.sequence(F.lit(0), F.col("draws") - 1))
-    draws = drawn.where("draws > 0").select("place", "block", "full", "blocks", epoch.alias("epoch"))
+    draws = drawn.where("draws > 0").select("place", "block", "full", "nth", "filled", epoch.alias("epoch"))
     # Each whole pass goes through the blocks from another start; the last, partial one takes the first blocks.
-    turn = F.pmod(F.col("block") + F.xxhash64("place", "epoch", F.lit(SEED)) % F.col("blocks"), F.col("blocks"))
+    turn = F.pmod(F.col("nth") + F.xxhash64("place", "epoch", F.lit(SEED)) % F.col("filled"), F.col("filled"))
     draws = draws.select(
         "place",
         "block",
         "epoch",
-        (F.col("epoch") * F.col("blocks") + F.when(F.col("epoch") < F.col("full"), turn).otherwise(F.col("block"))).alias(
+        (F.col("epoch") * F.col("filled") + F.when(F.col("epoch") < F.col("full"), turn).otherwise(F.col("nth"))).alias(
             "turn"
         ),
     )

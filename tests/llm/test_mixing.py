@@ -68,6 +68,19 @@ def test_edges_and_small_blocks(spark):
     assert mixing.taken(df.limit(0)).count() == 0
 
 
+def test_documents_longer_than_a_block_get_all_shards(spark):
+    """Such sources have blocks without documents; each drawn copy still has a shard and a row."""
+    rows = [(0, "alone", "w " * 100_000)] + [(1 + i, "long", "w " * 40_000) for i in range(10)]
+    rows += [(100 + i, "short", "w " * 500) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for sizes in ({}, {"block_words": 3000, "shard_blocks": 4}):
+        got = mixing.taken(df, **sizes).select("doc_id", "copies", "shards").collect()
+        assert len(got) == len(rows) and all(len(r.shards) == r.copies and None not in r.shards for r in got)
+        assert max(r.copies for r in got) > 1
+    want = {r.doc_id: r.copies for r in mixing.taken(df).collect() if r.copies}
+    assert Counter(r.doc_id for r in mixing.mixed(df).select("doc_id").collect()) == want
+
+
 def test_hypergeometric_split(spark):
     one = spark.range(1).select(F.array(*map(F.lit, (1000, 37, 0, 1, 300))).cast("array<long>").alias("q"))
     leaves = mixing.shard_quotas(one, 1338, 8).collect()
