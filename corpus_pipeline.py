@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; a document of which nothing is left goes."""
-    done = linededup.deduplicate(docs)
+    """Deletes later repeated lines and runs; a document of which nothing is left goes."""
+    done = linededup.deduplicate_whole(docs)
     columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     cut_down = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     kept = cut_down.select(*columns, "text", F.length("text").cast("long").alias("n_chars"))

@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.secrets import let
+from ledgerlark.llm import passages
+from ledgerlark.llm.secrets import let, running_totals
 from ledgerlark.llm.shared import SPACE, WORD, cut, fresh_path, remove, table
 
 UNIT_WORDS = 12
@@ -163,6 +164,59 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_
     )
 
 
+def deduplicate_whole(docs: DataFrame) -> DataFrame:
+    """(row, n_removed, text): as deduplicate(), but text also has the spans of passages.spans() deleted.
+
+    n_removed counts words. Everything is found in the texts as they come, so no deletion hides another.
+    """
+    lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    read = docs.select("doc_id", "text")
+    more = passages.spans(read, LEAST_WORDS).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    both = repeats(read).unionByName(cut(more), allowMissingColumns=True)
+    nothing = F.array().cast("array<int>")
+    cutting = both.groupBy("doc_id", "text_key").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("spans")).alias("spans")
+    )
+    cutting = cutting.where((F.size("starts") > 0) | (F.size("spans") > 0)).withColumnsRenamed(
+        {"doc_id": "of", "text_key": "key"}
+    )
+    joined = lean.join(
+        cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
+    )
+    text = F.col("row.text")
+    gone_units = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
+    by_span = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+
+    def of_units(counts: Column) -> Column:
+        """The places of the words of gone_units."""
+        return let(
+            running_totals(counts),
+            lambda ahead: F.flatten(
+                F.transform(
+                    gone_units, lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1)
+                )
+            ),
+        )
+
+    counts = F.transform(units_of(text), lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
+    gone = F.array_distinct(
+        F.concat(by_span, F.when(F.size("starts") > 0, let(counts, of_units)).otherwise(nothing))
+    )
+    words = F.regexp_extract_all(text, F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0))
+    kept = let(
+        words,
+        lambda ws: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(ws) - 1), F.col("gone")), lambda i: F.get(ws, i)), ""
+        ),
+    )
+    marked = joined.select("row", F.when(F.col("key").isNotNull(), gone).otherwise(nothing).alias("gone"))
+    return marked.select(
+        "row",
+        F.size("gone").alias("n_removed"),
+        F.when(F.size("gone") == 0, text).otherwise(F.concat(F.regexp_extract(text, LEAD, 0), kept)).alias("text"),
+    )
+
+
 #: The same units in syntax that DuckDB knows.
 _UNIT_SQL = (
     rf"(?:[^{SPACE}]*[^{SPACE}.!?][\x20\x09\x0B-\x0D]+){{0,{UNIT_WORDS - 1}}}[^{SPACE}]+[{SPACE}]*"
