@@ -172,7 +172,9 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
     lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     read = docs.select("doc_id", "text")
     more = passages.spans(read, LEAST_WORDS).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
-    both = repeats(read).unionByName(cut(more), allowMissingColumns=True)
+    more = cut(more)
+    passages.release(docs.sparkSession)
+    both = repeats(read).unionByName(more, allowMissingColumns=True)
     nothing = F.array().cast("array<int>")
     cutting = both.groupBy("doc_id", "text_key").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("spans")).alias("spans")
