@@ -1,23 +1,28 @@
 """Operator 3, line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A text is cut into units: lines, and inside a line sentences of at most UNIT_WORDS words, so a passage repeated in
-the middle of a long line is found as well. Of every WINDOW consecutive units the least hash is selected (the
-rightmost of equals). Two texts that share a run of WINDOW units therefore share a selected fingerprint, which is
-all that has to be grouped: roughly half the units, and each only with the windows around it.
-
-Fingerprints that occur once are dropped. The windows around the others are the possible extensions of a match to
-both sides; a window is a repeat if the same units occurred earlier, in order of (doc_id, text hash, position).
-Every unit of a repeat is deleted. Overlapping repeats make a maximal repeated run, and each deleted unit equals a
-unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_WORDS words never count, as
-strings of one-word sentences repeat by chance.
-
-Nothing is paired: fingerprints and windows are counted and joined to their first place only, so a line that is in
-every document costs as many rows as it has occurrences.
-
-Edge cases: null text stays null with 0 units; empty text has 0 units; texts of fewer than WINDOW units are kept;
-rows of equal doc_id and text are the same document and keep or lose the same units; null doc_id sorts first; an
-empty table gives no rows; other columns are passed through by deduplicate(). White space before the first unit
-stays; a deleted unit takes the white space after it along.
+A text is cut into units of at most UNIT_WORDS words. A unit ends with its line, with a sentence, and, where no
+sentence ends among the next REACH words, with a word of CUT_CHARS characters; a word that none of these follows among
+UNIT_WORDS words is a unit by itself. So where a unit ends depends on the words after it alone and not on where the
+line began, and a passage repeated at another offset of a long line is cut into the same units.
+
+Of every WINDOW consecutive units the least hash is selected (the rightmost of equals). Two texts that share a run of
+WINDOW units therefore share a selected fingerprint, which is all that has to be grouped: roughly half the units, and
+each only with the windows around it. Fingerprints that occur once are dropped. The windows around the others are the
+possible extensions of a match to both sides: a window is a repeat if the same units occurred earlier, in order of
+(doc_id, text hash, position). Every unit of a repeat is deleted. Overlapping repeats make a maximal repeated run, and
+each deleted unit equals a unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_WORDS
+words never count, as strings of one-word sentences repeat by chance. Besides, a whole line of LEAST_WORDS or more
+words that equals an earlier one, but for white space around it, goes whatever its neighbours are.
+
+A window is told by two digests of 64 bits, its fingerprint and the hash of its units' hashes, a line by two hashes of
+its own, so a chance agreement of one digest deletes nothing. Nothing is paired: fingerprints, windows and lines are
+counted and joined to their first place only, so a line that is in every document costs as many rows as it has
+occurrences. A repeated run of 66 words always holds a window of WINDOW units; most of 25 words do.
+
+Edge cases: null text stays null with 0 units; empty text has 0 units; texts of fewer than WINDOW units lose whole
+lines at most; rows of equal doc_id and text are the same document and keep or lose the same units; null doc_id sorts
+first; an empty table gives no rows; other columns are passed through by deduplicate(). White space before the first
+unit stays; a deleted unit takes the white space after it along.
 """
 
 from __future__ import annotations
@@ -30,13 +35,18 @@ from ledgerlark.llm.secrets import let, running_totals
 from ledgerlark.llm.shared import SPACE, WORD, cut, fresh_path, remove, table
 
 UNIT_WORDS = 12
+REACH = 8
+CUT_CHARS = 4
 WINDOW = 3
 LEAST_WORDS = 6
 
-#: Up to UNIT_WORDS words of a line, of which only the last may end a sentence, and the white space behind.
-#: What was once matched is never given back, which spares the matcher its way back through every word.
+#: A word that ends neither its line nor a sentence, and the white space behind. What was once matched is never given
+#: back, which spares the matcher its way back through every word.
+_ON = rf"[^{SPACE}]++(?<![.!?])[\x20\x09\x0B-\x0D]++(?=[^{SPACE}])"
+#: A word after which no unit ends.
+_INSIDE = rf"(?!(?=[^{SPACE}]{{{CUT_CHARS}}}[{SPACE}])(?:{_ON}){{{REACH}}}){_ON}"
 UNIT = (
-    rf"(?:[^{SPACE}]++(?<![.!?])[\x20\x09\x0B-\x0D]++){{0,{UNIT_WORDS - 1}}}[^{SPACE}]++[{SPACE}]*+"
+    rf"(?:{_INSIDE}){{0,{UNIT_WORDS - 1}}}+(?!{_INSIDE})[^{SPACE}]++[{SPACE}]*+|[^{SPACE}]++[{SPACE}]*+"
 )
 LEAD = rf"^[{SPACE}]*"
 
@@ -46,114 +56,136 @@ def units_of(text: Column) -> Column:
 
 
 def bare(unit: Column) -> Column:
-    return F.rtrim(unit, F.lit(" \t\n\x0b\f\r"))
+    return F.rtrim(unit, F.lit(passages.BLANK))
 
 
-def words_up_to(unit: Column, most: int) -> Column:
-    """Number of words of a unit, or `most` if it has more, for which only so many are looked at."""
-    enough = unit.rlike(rf"^(?:{WORD}+[{SPACE}]++){{{most - 1}}}{WORD}")
-    return F.when(enough, most).otherwise(F.size(F.regexp_extract_all(unit, F.lit(WORD), F.lit(0))))
+def described(docs: DataFrame, window: int, least_words: int) -> DataFrame:
+    """(doc_id, text_key, n_units, prints, lines) for every row of docs(doc_id, text).
 
-
-def fingerprints(docs: DataFrame, window: int, least_words: int) -> DataFrame:
-    """(print, doc_id, text_key, n_units, around): each selected fingerprint with the windows (at, run) it is the least of.
-
-    A document without windows has one row with a null print, so that its number of units is known as well.
+    prints: each selected fingerprint with the windows (at, run) that it is the least of. lines: two hashes of each line
+    of so many words, its first unit and its number of units.
     """
-    # A unit has a word at least, so a window with a unit of so many words is long enough.
-    most = max(1, least_words - window + 1)
-
-    def windows(units: Column) -> Column:
-        """Each window that is long enough: its place, the hashes of its units, and where the chosen one stands."""
-        count = F.greatest(F.size(units) - window + 1, F.lit(0))
-
-        def zipped(hashes: Column, words: Column) -> Column:
-            part = [F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window)]
-            part += [F.slice(words, k + 1, count).alias(f"n{k}") for k in range(window)]
-            return F.filter(
-                F.arrays_zip(*part, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))).alias("at")),
-                lambda z: sum((z[f"n{k}"] for k in range(1, window)), z["n0"]) >= least_words,
-            )
 
-        hashes = F.transform(units, lambda u: F.xxhash64(bare(u)))
-        return zipped(hashes, F.transform(units, lambda u: words_up_to(u, most)))
-
-    def chosen(z: Column) -> Column:
-        """The rightmost of the least hashes."""
-        h = [z[f"h{k}"] for k in range(window)]
-        least = F.least(*h) if window > 1 else h[0]
-        back = F.lit(0)
-        for k in range(1, window):
-            back = F.when(h[k] == least, F.lit(k)).otherwise(back)
-        return F.struct(
-            (z["at"] + back).alias("chosen"),
-            least.alias("print"),
-            z["at"].alias("at"),
-            F.xxhash64(*h).alias("run"),
+    def around(hashes: Column, words: Column, i: Column) -> Column:
+        """The windows of which unit i has the rightmost of the least hashes. There is none past either end."""
+        mine = F.get(hashes, i)
+        kept = []
+        for k in range(window):  # the window that begins k units before
+            best = [mine <= F.get(hashes, i - j) for j in range(1, k + 1)]
+            best += [mine < F.get(hashes, i + j) for j in range(1, window - k)]
+            size = sum((F.get(words, i - k + j) for j in range(1, window)), F.get(words, i - k))
+            run = F.xxhash64(*(F.get(hashes, i - k + j) for j in range(window)))
+            good = size >= least_words
+            for b in best:
+                good = b & good
+            kept.append(F.when(good, F.struct((i - k).alias("at"), run.alias("run"))))
+        return F.array_compact(F.array(*kept))
+
+    def selected(hashes: Column, words: Column) -> Column:
+        each = F.transform(
+            hashes, lambda h, i: F.struct(h.alias("print"), around(hashes, words, i).alias("around"))
         )
-
-    def selected(ws: Column) -> Column:
-        """Windows of one choice are neighbours, so the others need not be looked through for them."""
-        firsts = F.filter(
-            F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.get(ws, i - 1)["chosen"].alias("was"))),
-            lambda x: ~x["was"].eqNullSafe(x["w"]["chosen"]),
-        )
-        return F.transform(
-            firsts,
-            lambda x: F.struct(
-                x["w"]["print"].alias("print"),
-                F.transform(
-                    F.filter(F.slice(ws, x["i"] + 1, F.lit(window)), lambda w: w["chosen"] == x["w"]["chosen"]),
-                    lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")),
-                ).alias("around"),
+        return F.filter(each, lambda x: F.size(x["around"]) > 0)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Where words stand one blank apart they are counted without a matcher.
+    plain = ~text.rlike(r"[\x09\x0B-\x0D]|\x20\x20")
+    enough = rf"^[{SPACE}]*+(?:{WORD}+[{SPACE}]++){{{max(0, least_words - 1)}}}{WORD}"
+
+    def of_parts(lines: Column, parts: Column, plain: Column) -> Column:
+        counted = lambda u: F.when(plain, F.size(F.split(u, " "))).otherwise(F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
+        units = F.flatten(parts)
+        prints = let(
+            F.transform(units, bare),
+            lambda us: let(
+                F.struct(F.transform(us, lambda u: F.xxhash64(u)).alias("h"), F.transform(us, counted).alias("n")),
+                lambda x: selected(x["h"], x["n"]),
             ),
         )
+        sizes = F.transform(parts, F.size)
+
+        def of_lines(sizes: Column) -> Column:
+            return let(
+                running_totals(sizes),
+                lambda ahead: F.filter(
+                    F.transform(
+                        lines,
+                        lambda line, i: F.when(
+                            line.rlike(enough),
+                            F.struct(
+                                F.xxhash64(F.trim(line, F.lit(passages.BLANK))).alias("print"),
+                                F.xxhash64(F.lit(7), F.trim(line, F.lit(passages.BLANK))).alias("run"),
+                                F.get(ahead, i).alias("at"),
+                                F.get(sizes, i).alias("n"),
+                            ),
+                        ),
+                    ),
+                    lambda x: x.isNotNull(),
+                ),
+            )
+
+        return F.struct(
+            F.aggregate(sizes, F.lit(0), lambda a, x: a + x).alias("n_units"),
+            prints.alias("prints"),
+            let(sizes, of_lines).alias("lines"),
+        )
 
     of_text = let(
-        units_of(F.col("text")),
-        lambda us: F.struct(
-            F.size(us).alias("n_units"), let(F.transform(windows(us), chosen), selected).alias("prints")
+        F.struct(F.split(text, "\n").alias("lines"), plain.alias("plain")),
+        lambda t: let(
+            F.transform(t["lines"], units_of), lambda parts: of_parts(t["lines"], parts, t["plain"])
         ),
     )
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_text.alias("t"))
-    rows = texts.select("doc_id", "text_key", "t.n_units", F.explode_outer("t.prints").alias("w"))
-    return rows.select("w.print", "doc_id", "text_key", "n_units", "w.around")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_text.alias("t")).select("doc_id", "text_key", "t.*")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_key, n_units, starts): for each text, where the windows begin that occurred earlier."""
-    # Written once, as it is both counted and joined; only the counted column is read for the count.
-    path = fresh_path(docs.sparkSession, "fingerprints")
-    fingerprints(docs, window, least_words).write.parquet(path)
-    found = docs.sparkSession.read.parquet(path)
-    # Both counts are cut off before they are joined, so that joins with a very common line can be split.
-    shared = cut(found.where("print is not null").groupBy("print").agg(F.count("*").alias("seen")).where("seen > 1").select(F.col("print").alias("p")))
-    matched = found.join(shared, F.col("print") == F.col("p"), "left_semi")
-    extended = cut(matched.select("doc_id", "text_key", F.explode("around").alias("w")).select("doc_id", "text_key", "w.*"))
+    """(doc_id, text_key, n_units, starts, spans): for each text, where windows and lines (at, n) begin that occurred earlier."""
+    spark = docs.sparkSession
+    # Written once, as it is counted and joined; only the columns asked for are read again.
+    path = fresh_path(spark, "units")
+    described(docs, window, least_words).write.parquet(path)
+    found = spark.read.parquet(path)
+    prints = found.select(F.explode("prints.print").alias("p"))
+    shared = cut(prints.groupBy("p").agg(F.count("*").alias("seen")).where("seen > 1").select("p"))
+    each = found.select("doc_id", "text_key", F.explode("prints").alias("x"))
+    matched = each.join(shared, F.col("x.print") == F.col("p"), "left_semi")
+    windows = matched.select("doc_id", "text_key", F.col("x.print").alias("print"), F.explode("x.around").alias("w"))
+    windows = cut(windows.select("doc_id", "text_key", "print", "w.*"))
+    starts = passages.later(windows).select("doc_id", "text_key", "at")
+    lines = cut(found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.*"))
+    spans = passages.later(lines).select("doc_id", "text_key", F.struct("at", "n").alias("span"))
     sizes = cut(found.select("doc_id", "text_key", "n_units").distinct())
-    remove(docs.sparkSession, path)  # extended and sizes stand on checkpoints of their own
-    place = F.struct("doc_id", "text_key", "at")
-    runs = extended.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("seen"))
-    again = cut(runs.where("seen > 1").select(F.col("run").alias("r"), "first"))
-    later = extended.join(again, F.col("run") == F.col("r")).where(~place.eqNullSafe(F.col("first")))
-    both = later.select("doc_id", "text_key", "at").unionByName(sizes, allowMissingColumns=True)
-    return both.groupBy("doc_id", "text_key").agg(F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"))
+    remove(spark, path)  # windows, lines and sizes stand on checkpoints of their own
+    both = sizes.unionByName(starts, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)
+    return both.groupBy("doc_id", "text_key").agg(
+        F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"), F.collect_set("span").alias("spans")
+    )
+
+
+def units_gone(window: int) -> Column:
+    """The units that starts and spans delete."""
+    by_window = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))
+    by_line = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    return F.array_distinct(F.concat(by_window, by_line))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, n_units, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
     lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     cutting = repeats(docs.select("doc_id", "text"), window, least_words).select(
-        F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "n_units", "starts"
+        F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "n_units", units_gone(window).alias("gone")
     )
     joined = lean.join(
         cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
-    ).withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))))
+    )
     text = F.col("row.text")
     units = units_of(text)
-    flags = F.map_from_entries(F.transform("gone", lambda i: F.struct(i, F.lit(True))))
     kept = let(
-        flags, lambda gone: F.array_join(F.filter(units, lambda u, i: ~F.map_contains_key(gone, i)), "")
+        units,
+        lambda us: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(us) - 1), F.col("gone")), lambda i: F.get(us, i)), ""
+        ),
     )
     return joined.select(
         "row",
@@ -165,45 +197,39 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_
 
 
 def deduplicate_whole(docs: DataFrame) -> DataFrame:
-    """(row, n_removed, text): as deduplicate(), but text also has the spans of passages.spans() deleted.
+    """(row, n_removed, text): as deduplicate(), but text also has the spans of passages.repeated_runs() deleted.
 
     n_removed counts words. Everything is found in the texts as they come, so no deletion hides another.
     """
     lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     read = docs.select("doc_id", "text")
-    more = passages.spans(read, LEAST_WORDS).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
-    more = cut(more)
+    runs = passages.repeated_runs(read).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("runs"))
+    runs = cut(runs)
     passages.release(docs.sparkSession)
-    both = repeats(read).unionByName(more, allowMissingColumns=True)
-    nothing = F.array().cast("array<int>")
+    units = repeats(read).select("doc_id", "text_key", units_gone(WINDOW).alias("units")).where(F.size("units") > 0)
+    both = units.unionByName(runs, allowMissingColumns=True)
     cutting = both.groupBy("doc_id", "text_key").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("spans")).alias("spans")
-    )
-    cutting = cutting.where((F.size("starts") > 0) | (F.size("spans") > 0)).withColumnsRenamed(
-        {"doc_id": "of", "text_key": "key"}
+        F.flatten(F.collect_list("units")).alias("units"), F.flatten(F.collect_list("runs")).alias("runs")
     )
+    cutting = cutting.withColumnsRenamed({"doc_id": "of", "text_key": "key"})
     joined = lean.join(
         cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
     )
     text = F.col("row.text")
-    gone_units = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
-    by_span = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    nothing = F.array().cast("array<int>")
+    by_run = F.flatten(F.transform("runs", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
 
     def of_units(counts: Column) -> Column:
-        """The places of the words of gone_units."""
+        """The places of the words of units."""
         return let(
             running_totals(counts),
             lambda ahead: F.flatten(
-                F.transform(
-                    gone_units, lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1)
-                )
+                F.transform("units", lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1))
             ),
         )
 
     counts = F.transform(units_of(text), lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-    gone = F.array_distinct(
-        F.concat(by_span, F.when(F.size("starts") > 0, let(counts, of_units)).otherwise(nothing))
-    )
+    gone = F.array_distinct(F.concat(by_run, F.when(F.size("units") > 0, let(counts, of_units)).otherwise(nothing)))
     words = F.regexp_extract_all(text, F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0))
     kept = let(
         words,
@@ -219,25 +245,42 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
     )
 
 
-#: The same units in syntax that DuckDB knows.
-_UNIT_SQL = (
-    rf"(?:[^{SPACE}]*[^{SPACE}.!?][\x20\x09\x0B-\x0D]+){{0,{UNIT_WORDS - 1}}}[^{SPACE}]+[{SPACE}]*"
-)
+#: By words and windows instead of patterns.
 ORACLE = f"""
-with u as (
-  select doc_id, text, regexp_extract_all(text, '{_UNIT_SQL}') as units from documents),
-b as (select doc_id, text, units, list_transform(units, lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12)
-    || chr(13))) as bare from u),
-w as (select doc_id, unnest(generate_series(1, len(bare) - {WINDOW - 1})) as pos, bare from b where len(bare) >= {WINDOW}),
-r as (select doc_id, pos, array_to_string(list_slice(bare, pos, pos + {WINDOW - 1}), chr(1)) as run from w),
-c as (select * from r where len(regexp_extract_all(run, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
-l as (select doc_id, pos, row_number() over (partition by run order by doc_id, pos) as nth from c),
-g as (select distinct doc_id, unnest(generate_series(pos, pos + {WINDOW - 1})) as unit from l where nth > 1),
-k as (select doc_id, list(unit) as gone from g group by doc_id)
-select b.doc_id, cast(len(units) as bigint) as n_units, cast(coalesce(len(gone), 0) as bigint) as n_removed,
-  case when gone is null then b.text else regexp_extract(b.text, '{LEAD}') || coalesce(array_to_string(
-    [units[i] for i in generate_series(1, len(units)) if not list_contains(gone, i)], ''), '') end as text
-from b left join k on b.doc_id = k.doc_id
+with w as (
+  select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as pos, len(pieces) as last
+  from (select doc_id, regexp_extract_all(text, '[^{SPACE}]+[{SPACE}]*') as pieces from documents)),
+f as (select *, rtrim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as word,
+  contains(piece, chr(10)) or pos = last as line_end from w),
+s as (select *, line_end or right(word, 1) in ('.', '!', '?') as ends from f),
+h as (select *, ends or (length(word) = {CUT_CHARS} and not bool_or(ends) over (
+  partition by doc_id order by pos rows between current row and {REACH - 1} following)) as hard from s),
+b as (select *, hard or not bool_or(hard) over (
+  partition by doc_id order by pos rows between current row and {UNIT_WORDS - 1} following) as cut from h),
+n as (select doc_id, pos, piece,
+  coalesce(sum(cut::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)
+    as unit,
+  coalesce(sum(line_end::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)
+    as line from b),
+u as (select doc_id, unit, any_value(line) as line, count(*) as words, string_agg(piece, '' order by pos) as piece
+  from n group by doc_id, unit),
+r as (select doc_id, unit, rtrim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, words from u),
+g as (select doc_id, unit,
+  array_to_string(list(bare) over three, chr(1)) as run, sum(words) over three as words, count(*) over three as units
+  from r window three as (partition by doc_id order by unit rows between current row and {WINDOW - 1} following)),
+g2 as (select doc_id, unit, row_number() over (partition by run order by doc_id, unit) as nth from g
+  where units = {WINDOW} and words >= {LEAST_WORDS}),
+l as (select doc_id, line, rtrim(string_agg(piece, '' order by pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12)
+  || chr(13)) as content from n group by doc_id, line having count(*) >= {LEAST_WORDS}),
+l2 as (select doc_id, line, row_number() over (partition by content order by doc_id, line) as nth from l),
+gone as (select distinct doc_id, unnest(generate_series(unit::bigint, unit::bigint + {WINDOW - 1})) as unit from g2 where nth > 1
+  union select u.doc_id, u.unit::bigint from u join l2 on u.doc_id = l2.doc_id and u.line = l2.line where l2.nth > 1),
+k as (select u.doc_id, count(*) as n_units, count(gone.unit) as n_removed,
+  coalesce(string_agg(piece, '' order by u.unit) filter (where gone.unit is null), '') as kept
+  from u left join gone on u.doc_id = gone.doc_id and u.unit = gone.unit group by u.doc_id)
+select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed,
+  case when coalesce(n_removed, 0) = 0 then text else regexp_extract(text, '{LEAD}') || kept end as text
+from documents d left join k on d.doc_id = k.doc_id
 """
 
 

@@ -1,15 +1,14 @@
-"""What the pipeline deletes besides the repeated runs of units of operator 3: later copies of lines and of passages.
+"""What the pipeline deletes besides the repeated units and lines of operator 3: later copies of passages, word by word.
 
-Lines. A line of LEAST_WORDS or more words goes if an equal line, but for white space around it, occurred earlier in
-order of (doc_id, text hash, position), whatever its neighbours are.
+Each word goes that stands in a run of RUN_WORDS words which occurred earlier, wherever in a line or sentence either
+starts; white space does not count. So every maximal repeated run of that length or more goes to its last word.
+Fingerprints are hashes of GRAM words that begin at an anchor: a word whose hash is divisible by SPARSE, or one that has
+no such word within REACH words to either side. Whether a word is an anchor depends on its neighbourhood alone and any
+2 * REACH + GRAM words hold a fingerprint, so equal runs share one, and only the runs around fingerprints that two
+places share are written out and compared. A text that is all of an earlier document's goes whole and needs no runs of
+its own. Runs and whole texts are told by two digests of 64 bits each.
 
-Passages. Each word goes that stands in a run of RUN_WORDS words which occurred earlier, wherever in a line or sentence
-either starts; white space does not count. So every maximal repeated run of that length or more goes to its last word.
-The least of every RUN_WORDS - GRAM + 1 consecutive hashes of GRAM words is selected (winnowing over words, all of
-equals). Equal runs select equal fingerprints, so only the runs around fingerprints that two places share
-are written out and compared. A text that is all of an earlier document's goes whole and needs no runs of its own.
-
-A place is a span (at, n): n words from the word `at` on, counted over the whole text. Lines and runs are counted and
+A place is a span (at, n): n words from the word `at` on, counted over the whole text. Runs are counted and
 joined to their first place only, so one that is in every document costs as many rows as it has occurrences. Rows of
 equal doc_id and text are the same document; null doc_id sorts first; null or empty text has no spans.
 """
@@ -19,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.secrets import let, running_totals
-from ledgerlark.llm.shared import SPACE, cut, fresh_path, remove, word_count
+from ledgerlark.llm.secrets import let
+from ledgerlark.llm.shared import SPACE, cut, fresh_path, remove
 
 #: A repeated run of so many words is always found. GRAM words make a fingerprint.
 RUN_WORDS = 25
-GRAM = 10
+GRAM = 9
+SPARSE = 6
+#: As many documents as are broadcast at most.
+FEW = 200_000
 BLANK = " \t\n\x0b\f\r"
 
 
@@ -33,36 +35,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
-def later(found: DataFrame, key: str) -> DataFrame:
-    """The rows of found(key, doc_id, text_key, at, ..) of which the same key has an earlier place."""
+def later(found: DataFrame) -> DataFrame:
+    """The rows of found(print, run, doc_id, text_key, at, ..) of which the same digests have an earlier place."""
     place = F.struct("doc_id", "text_key", "at")
-    firsts = found.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("seen"))
-    again = cut(firsts.where("seen > 1").select(F.col(key).alias("again"), "first"))
-    return found.join(again, F.col(key) == F.col("again")).where(~place.eqNullSafe(F.col("first"))).drop("again", "first")
-
-
-def repeated_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, text_key, span) for each line that is a later copy of an earlier one."""
-    lines = F.split("text", "\n")
-
-    def placed(counts: Column) -> Column:
-        return let(
-            running_totals(counts),
-            lambda ahead: F.transform(
-                lines,
-                lambda line, i: F.struct(
-                    F.xxhash64(F.trim(line, F.lit(BLANK))).alias("line"),
-                    F.get(ahead, i).alias("at"),
-                    F.get(counts, i).alias("n"),
-                ),
-            ),
-        )
-
-    counted = let(F.transform(lines, lambda line: word_count(line).cast("int")), placed)
-    long_ones = F.filter(counted, lambda x: x["n"] >= least_words)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(long_ones).alias("x"))
-    found = cut(rows.select("doc_id", "text_key", "x.*"))
-    return later(found, "line").select("doc_id", "text_key", F.struct("at", "n").alias("span"))
+    firsts = found.groupBy("print", "run").agg(F.min(place).alias("first"), F.count("*").alias("seen"))
+    # Cut off before it is joined, so that joins with a very common line can be split.
+    again = cut(firsts.where("seen > 1").select(F.col("print").alias("p"), F.col("run").alias("r"), "first"))
+    met = found.join(again, (F.col("print") == F.col("p")) & (F.col("run") == F.col("r")))
+    return met.where(~place.eqNullSafe(F.col("first")))
 
 
 def word_hashes(text: Column) -> Column:
@@ -70,61 +50,33 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shifted(xs: Column, by: int) -> Column:
-    return F.slice(xs, by + 1, F.greatest(F.size(xs) - by, F.lit(0)))
-
-
-def over_windows(xs: Column, width: int, pick) -> Column:
-    """pick (F.least or F.greatest) over each window of width elements, by doubling."""
-
-    def grown(part: Column, have: int) -> Column:
-        if have == width:
-            return F.slice(part, 1, F.size(xs) - (width - 1))
-        by = min(have, width - have)
-        return let(F.zip_with(part, shifted(part, by), lambda a, b: pick(a, b)), lambda p: grown(p, have + by))
-
-    return grown(xs, 1)
-
-
-def grams_of(hashes: Column, gram: int) -> Column:
-    """A hash for each gram consecutive words, by doubling; the places that are too near the end are left out."""
-
-    def grown(powers: dict[int, Column], have: int) -> Column:
-        if 2 * have <= gram:
-            both = F.zip_with(powers[have], shifted(powers[have], have), lambda a, b: F.xxhash64(a, b))
-            return let(both, lambda p: grown(powers | {2 * have: p}, 2 * have))
-        whole, done = powers[have], have
-        for size in sorted(powers, reverse=True)[1:]:
-            if done + size <= gram:
-                whole = F.zip_with(whole, shifted(powers[size], done), lambda a, b: F.xxhash64(a, b))
-                done += size
-        return F.slice(whole, 1, F.size(hashes) - (gram - 1))
-
-    return grown({1: hashes}, 1)
-
-
 def fingerprints(hashes: Column, run_words: int, gram: int) -> Column:
-    """(at, print) for each selected fingerprint; there are run_words hashes or more."""
-    width = run_words - gram + 1
-
-    def selected(grams: Column) -> Column:
-        # What is the least of a window is the greatest of the leasts of all windows that it is in.
-        ends = F.array_repeat(F.lit(-(1 << 63)).cast("long"), width - 1)
-        best = over_windows_of(F.concat(ends, over_windows(grams, width, F.least), ends), width)
-        marked = F.zip_with(grams, best, lambda g, b: F.when(g == b, g))
-        placed = F.transform(marked, lambda g, p: F.struct(p.alias("at"), g.alias("print")))
-        return F.filter(placed, lambda x: x["print"].isNotNull())
-
-    def over_windows_of(xs: Column, width: int) -> Column:
-        return let(xs, lambda x: over_windows(x, width, F.greatest))
+    """(at, print) for each fingerprint; there are run_words hashes or more."""
+    reach = (run_words - gram) // 2
+    last = F.size(hashes) - gram
+
+    def anchors(marked: Column) -> Column:
+        """The marked places and those that are further than reach from any; either end counts as marked."""
+        ends = F.concat(F.array(F.lit(-1)), marked, F.array(last + 1))
+        gaps = F.transform(
+            ends,
+            lambda p, i: F.when(
+                F.get(ends, i + 1) - p > 2 * reach + 1, F.sequence(p + (reach + 1), F.get(ends, i + 1) - (reach + 1))
+            ),
+        )
+        return F.concat(marked, F.flatten(F.array_compact(gaps)))
 
-    return let(grams_of(hashes, gram), selected)
+    marked = F.filter(F.sequence(F.lit(0), last), lambda i: F.pmod(F.get(hashes, i), F.lit(SPARSE)) == 0)
+    return F.transform(
+        let(marked, anchors),
+        lambda p: F.struct(p.alias("at"), F.xxhash64(F.slice(hashes, p + 1, F.lit(gram))).alias("print")),
+    )
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_key, span): spans that cover each word in a run of run_words words that occurred earlier."""
     spark, width = docs.sparkSession, run_words - gram + 1
-    texts = docs.withColumn("text_key", F.xxhash64("text"))
+    texts = docs.withColumns({"text_key": F.xxhash64("text"), "text_key2": F.xxhash64(F.lit(7), F.col("text"))})
     path = fresh_path(spark, "passages")
     seen = let(
         word_hashes(F.col("text")),
@@ -133,20 +85,24 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
             F.struct(F.size(h).alias("n"), fingerprints(h, run_words, gram).alias("x")),
         ),
     )
-    texts.select("doc_id", "text_key", seen.alias("s")).where("s is not null").select(
-        "doc_id", "text_key", F.xxhash64("doc_id", "text_key").alias("doc"), "s.*"
+    texts.select("doc_id", "text_key", "text_key2", seen.alias("s")).where("s is not null").select(
+        "doc_id", "text_key", "text_key2", F.xxhash64("doc_id", "text_key").alias("doc"), "s.*"
     ).write.parquet(path)
     found = spark.read.parquet(path)
 
-    whole = found.select("doc_id", "text_key", F.lit(0).alias("at"), "n")
-    copies = cut(later(whole, "text_key").distinct())
-    prints = found.select("doc", "n", F.explode("x").alias("x")).select("doc", "n", "x.*")
+    whole = found.select(
+        "doc_id", "text_key", F.lit(0).alias("at"), "n", F.col("text_key2").alias("print"), F.col("text_key").alias("run")
+    )
+    copies = cut(later(whole).select("doc_id", "text_key", "at", "n").distinct())
+    # Later copies need no runs of their own, and what they share with others their original shares as well.
+    gone = copies.select(F.xxhash64("doc_id", "text_key").alias("d"))
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    own = found.join(gone, F.col("doc") == F.col("d"), "left_anti")
+    prints = own.select("doc", "n", F.explode("x").alias("x")).select("doc", "n", "x.*")
     shared = cut(prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select(F.col("print").alias("p")))
     release(spark)
-    # Later copies need no runs of their own.
     mine = prints.join(shared, F.col("print") == F.col("p"), "left_semi").select("doc", "n", "at")
     mine = cut(mine.groupBy("doc").agg(F.max("n").alias("n"), F.collect_set("at").alias("ats")))
-    mine = mine.join(copies.select(F.xxhash64("doc_id", "text_key").alias("d")), F.col("doc") == F.col("d"), "left_anti")
     remove(spark, path)
     release(spark)
 
@@ -158,7 +114,11 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     runs = let(
         word_hashes(F.col("text")),
         lambda h: F.transform(
-            around, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, run_words)).alias("run"))
+            around,
+            lambda i: let(
+                F.slice(h, i + 1, F.lit(run_words)),
+                lambda r: F.struct(i.alias("at"), F.xxhash64(r).alias("run"), F.xxhash64(F.lit(7), r).alias("print")),
+            ),
         ),
     )
     near = texts.join(mine, F.xxhash64("doc_id", "text_key") == F.col("doc"))
@@ -166,7 +126,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     near.select("doc_id", "text_key", F.explode(runs).alias("x")).select("doc_id", "text_key", "x.*").write.parquet(path)
     rows = spark.read.parquet(path)
     release(spark)
-    again = later(rows, "run").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    again = later(rows).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     again = cut(again)
     remove(spark, path)
     # Starts that follow one another make one span, from the first of them to the end of the last one's run.
@@ -181,8 +141,3 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     )
     spans = again.select("doc_id", "text_key", F.explode(merged).alias("span"))
     return spans.unionByName(copies.select("doc_id", "text_key", F.struct("at", "n").alias("span")))
-
-
-def spans(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, text_key, span) of all that is to be deleted from docs(doc_id, text)."""
-    return repeated_lines(docs, least_words).unionByName(repeated_runs(docs))

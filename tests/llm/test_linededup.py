@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -7,23 +8,47 @@ from ledgerlark.llm import linededup
 SPACE = " \t\n\x0b\f\r"
 
 
+def units(text):
+    """The units of a text and the line of each, word by word as the docstring says."""
+    pieces = re.findall(rf"[^{SPACE}]+[{SPACE}]*", text or "")
+    words = [p.rstrip(SPACE) for p in pieces]
+    ends_line = ["\n" in p or i == len(pieces) - 1 for i, p in enumerate(pieces)]
+    ends = [e or w[-1] in ".!?" for e, w in zip(ends_line, words)]
+    hard = [e or len(w) == linededup.CUT_CHARS and not any(ends[i : i + linededup.REACH]) for i, (e, w) in enumerate(zip(ends, words))]
+    out, line, unit = [], 0, ""
+    for i, p in enumerate(pieces):
+        unit += p
+        if hard[i] or not any(hard[i : i + linededup.UNIT_WORDS]):
+            out.append((unit, line))
+            unit = ""
+        line += ends_line[i]
+    return out
+
+
 def brute(rows, window=linededup.WINDOW, least=linededup.LEAST_WORDS):
-    """doc index -> (units, removed, text), by the definition: windows that occurred earlier lose all units."""
+    """doc index -> (units, removed, text): windows and whole lines that occurred earlier lose all units."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        units = re.findall(linededup.UNIT, text or "")
-        bare = [u.rstrip(SPACE) for u in units]
+        found = units(text)
+        bare = [u.rstrip(SPACE) for u, _ in found]
         gone = set()
-        for at in range(len(units) - window + 1):
+        for at in range(len(found) - window + 1):
             run = tuple(bare[at : at + window])
-            if sum(len(re.split(f"[{SPACE}]+", u)) for u in run) < least:
+            if sum(len(u.split()) for u in run) < least:
                 continue
             if run in seen:
                 gone.update(range(at, at + window))
             seen.add(run)
+        for n in {n for _, n in found}:
+            own = [j for j, (_, m) in enumerate(found) if m == n]
+            line = "".join(found[j][0] for j in own).rstrip(SPACE)
+            if len(line.split()) >= least:
+                if line in seen:
+                    gone.update(own)
+                seen.add(line)
         lead = re.match(linededup.LEAD, text or "").group()
-        kept = lead + "".join(u for j, u in enumerate(units) if j not in gone)
-        out[i] = (len(units), len(gone), text if not gone else kept)
+        kept = lead + "".join(u for j, (u, _) in enumerate(found) if j not in gone)
+        out[i] = (len(found), len(gone), text if not gone else kept)
     return out
 
 
@@ -57,8 +82,35 @@ def test_edges(spark):
     want = brute(rows)
     for i, _ in rows:
         assert got[i] == want[i], i
-    assert got[9][2] == "" and got[11][2] == "" and got[10][1] == 0
+    assert got[9][2] == "" and got[5][2].count("Same") == 1 and got[11][2] == "" and got[10][1] == 0
     assert linededup.deduplicate(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, passage), (1, passage), (None, passage)], "doc_id long, text string")
     rows = linededup.deduplicate(twice).select(F.col("row.doc_id"), "text").collect()
     assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, passage), (1, ""), (1, "")]
+
+
+def test_long_lines_are_cut_alike_at_any_offset(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"y{rng.randrange(10 ** rng.randint(1, 9))}" for _ in range(n)]
+    passage = fresh(200)
+    rows = [(k, " ".join(fresh(5 + k) + passage + fresh(7))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in linededup.deduplicate(df).collect():
+        left = len(r.text.split())
+        assert left == 212 if r.row.doc_id == 0 else left <= 12 + r.row.doc_id + 30
+
+
+def test_one_equal_digest_deletes_nothing(spark, monkeypatch):
+    """With all first digests equal, what the second ones tell apart stays."""
+    texts = ["A one two three. B four five. C six seven eight.", "A one two three. B four five. C six seven nine."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    right = linededup.described
+
+    def collided(docs, window, least):
+        found = right(docs, window, least)
+        alike = F.transform("prints", lambda x: x.withField("print", F.lit(1).cast("long")))
+        lines = F.transform("lines", lambda x: x.withField("print", F.lit(1).cast("long")))
+        return found.withColumns({"prints": alike, "lines": lines})
+
+    monkeypatch.setattr(linededup, "described", collided)
+    assert {r.row.doc_id: r.text for r in linededup.deduplicate(df).collect()} == dict(enumerate(texts))
