@@ -1,9 +1,9 @@
 """Operator 3, line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A text is cut into units of at most UNIT_WORDS words. A unit ends with its line, with a sentence, and, where no
-sentence ends among the next REACH words, with a word of CUT_CHARS characters; a word that none of these follows among
-UNIT_WORDS words is a unit by itself. So where a unit ends depends on the words after it alone and not on where the
-line began, and a passage repeated at another offset of a long line is cut into the same units.
+A text is cut into units of at most UNIT_WORDS words. A unit ends with its line or with a sentence; where neither ends
+within UNIT_WORDS words, it ends with the first word of CUT_CHARS characters after LEAST_CUT others, or else after
+UNIT_WORDS words. So long sentences are cut by their content, and a passage repeated at another offset of a long line
+soon falls into the same units again.
 
 Of every WINDOW consecutive units the least hash is selected (the rightmost of equals). Two texts that share a run of
 WINDOW units therefore share a selected fingerprint, which is all that has to be grouped: roughly half the units, and
@@ -17,7 +17,7 @@ words that equals an earlier one, but for white space around it, goes whatever i
 A window is told by two digests of 64 bits, its fingerprint and the hash of its units' hashes, a line by two hashes of
 its own, so a chance agreement of one digest deletes nothing. Nothing is paired: fingerprints, windows and lines are
 counted and joined to their first place only, so a line that is in every document costs as many rows as it has
-occurrences. A repeated run of 66 words always holds a window of WINDOW units; most of 25 words do.
+occurrences.
 
 Edge cases: null text stays null with 0 units; empty text has 0 units; texts of fewer than WINDOW units lose whole
 lines at most; rows of equal doc_id and text are the same document and keep or lose the same units; null doc_id sorts
@@ -35,18 +35,19 @@ from ledgerlark.llm.secrets import let, running_totals
 from ledgerlark.llm.shared import SPACE, WORD, cut, fresh_path, remove, table
 
 UNIT_WORDS = 12
-REACH = 8
 CUT_CHARS = 4
+LEAST_CUT = 2
 WINDOW = 3
 LEAST_WORDS = 6
 
+_BLANK = r"[\x20\x09\x0B-\x0D]"  # white space that ends no line
 #: A word that ends neither its line nor a sentence, and the white space behind. What was once matched is never given
 #: back, which spares the matcher its way back through every word.
-_ON = rf"[^{SPACE}]++(?<![.!?])[\x20\x09\x0B-\x0D]++(?=[^{SPACE}])"
-#: A word after which no unit ends.
-_INSIDE = rf"(?!(?=[^{SPACE}]{{{CUT_CHARS}}}[{SPACE}])(?:{_ON}){{{REACH}}}){_ON}"
+_ON = rf"[^{SPACE}]++(?<![.!?]){_BLANK}++(?=[^{SPACE}])"
+_END = rf"[^{SPACE}]++(?:(?<=[.!?])|(?={_BLANK}*+(?:\n|\z)))[{SPACE}]*+"
+_CUT = rf"[^{SPACE}]{{{CUT_CHARS - 1}}}[^{SPACE}.!?]{_BLANK}++(?=[^{SPACE}])"
 UNIT = (
-    rf"(?:{_INSIDE}){{0,{UNIT_WORDS - 1}}}+(?!{_INSIDE})[^{SPACE}]++[{SPACE}]*+|[^{SPACE}]++[{SPACE}]*+"
+    rf"(?:{_ON}){{0,{UNIT_WORDS - 1}}}+{_END}|(?:{_ON}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?{_CUT}|(?:{_ON}){{{UNIT_WORDS}}}"
 )
 LEAD = rf"^[{SPACE}]*"
 
@@ -66,75 +67,90 @@ def described(docs: DataFrame, window: int, least_words: int) -> DataFrame:
     of so many words, its first unit and its number of units.
     """
 
-    def around(hashes: Column, words: Column, i: Column) -> Column:
-        """The windows of which unit i has the rightmost of the least hashes. There is none past either end."""
-        mine = F.get(hashes, i)
-        kept = []
-        for k in range(window):  # the window that begins k units before
-            best = [mine <= F.get(hashes, i - j) for j in range(1, k + 1)]
-            best += [mine < F.get(hashes, i + j) for j in range(1, window - k)]
-            size = sum((F.get(words, i - k + j) for j in range(1, window)), F.get(words, i - k))
-            run = F.xxhash64(*(F.get(hashes, i - k + j) for j in range(window)))
-            good = size >= least_words
-            for b in best:
-                good = b & good
-            kept.append(F.when(good, F.struct((i - k).alias("at"), run.alias("run"))))
-        return F.array_compact(F.array(*kept))
-
-    def selected(hashes: Column, words: Column) -> Column:
-        each = F.transform(
-            hashes, lambda h, i: F.struct(h.alias("print"), around(hashes, words, i).alias("around"))
+    def windows(hashes: Column, words: Column) -> Column:
+        """Each window that is long enough: its place, where the rightmost of its least hashes stands, and its digests."""
+        count = F.greatest(F.size(hashes) - window + 1, F.lit(0))
+        part = [F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window)]
+        part += [F.slice(words, k + 1, count).alias(f"n{k}") for k in range(window)]
+
+        def of(z: Column, i: Column) -> Column:
+            h = [z[f"h{k}"] for k in range(window)]
+            least = F.least(*h) if window > 1 else h[0]
+            back = F.lit(0)
+            for k in range(1, window):
+                back = F.when(h[k] == least, F.lit(k)).otherwise(back)
+            size = sum((z[f"n{k}"] for k in range(1, window)), z["n0"])
+            return F.when(
+                size >= least_words,
+                F.struct((i + back).alias("chosen"), least.alias("print"), i.alias("at"), F.xxhash64(*h).alias("run")),
+            )
+
+        return F.array_compact(F.transform(F.arrays_zip(*part), of))
+
+    def selected(ws: Column) -> Column:
+        """Windows of one choice are neighbours, so the others need not be looked through for them."""
+        firsts = F.filter(
+            F.transform(ws, lambda w, i: F.when(~F.get(ws, i - 1)["chosen"].eqNullSafe(w["chosen"]), i)),
+            lambda i: i.isNotNull(),
+        )
+        return F.transform(
+            firsts,
+            lambda i: F.struct(
+                F.get(ws, i)["print"].alias("print"),
+                F.transform(
+                    F.filter(F.slice(ws, i + 1, F.lit(window)), lambda w: w["chosen"] == F.get(ws, i)["chosen"]),
+                    lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")),
+                ).alias("around"),
+            ),
         )
-        return F.filter(each, lambda x: F.size(x["around"]) > 0)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     # Where words stand one blank apart they are counted without a matcher.
-    plain = ~text.rlike(r"[\x09\x0B-\x0D]|\x20\x20")
-    enough = rf"^[{SPACE}]*+(?:{WORD}+[{SPACE}]++){{{max(0, least_words - 1)}}}{WORD}"
-
-    def of_parts(lines: Column, parts: Column, plain: Column) -> Column:
-        counted = lambda u: F.when(plain, F.size(F.split(u, " "))).otherwise(F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-        units = F.flatten(parts)
-        prints = let(
-            F.transform(units, bare),
-            lambda us: let(
-                F.struct(F.transform(us, lambda u: F.xxhash64(u)).alias("h"), F.transform(us, counted).alias("n")),
-                lambda x: selected(x["h"], x["n"]),
-            ),
-        )
-        sizes = F.transform(parts, F.size)
-
-        def of_lines(sizes: Column) -> Column:
-            return let(
-                running_totals(sizes),
-                lambda ahead: F.filter(
-                    F.transform(
-                        lines,
-                        lambda line, i: F.when(
-                            line.rlike(enough),
-                            F.struct(
-                                F.xxhash64(F.trim(line, F.lit(passages.BLANK))).alias("print"),
-                                F.xxhash64(F.lit(7), F.trim(line, F.lit(passages.BLANK))).alias("run"),
-                                F.get(ahead, i).alias("at"),
-                                F.get(sizes, i).alias("n"),
-                            ),
-                        ),
+    odd = F.lit(False)
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(text, F.lit(x))
+
+    def of_lines(units: Column, words: Column) -> Column:
+        """Lines are runs of units of which only the last holds the end of a line."""
+        last = F.size(units) - 1
+        inner = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.contains(F.get(units, i), F.lit("\n")))
+        bounds = F.when(last >= 0, F.concat(F.array(F.lit(-1)), inner)).otherwise(F.array(F.lit(-1)))
+
+        def of(ends: Column) -> Column:
+            placed = F.transform(
+                F.slice(ends, F.lit(2), F.size(ends)),
+                lambda end, i: F.struct((F.get(ends, i) + 1).alias("at"), (end - F.get(ends, i)).alias("n")),
+            )
+            long_ones = F.filter(
+                placed,
+                lambda x: F.aggregate(F.slice(words, x["at"] + 1, x["n"]), F.lit(0), lambda a, n: a + n) >= least_words,
+            )
+            return F.transform(
+                long_ones,
+                lambda x: let(
+                    bare(F.array_join(F.slice(units, x["at"] + 1, x["n"]), "")),
+                    lambda line: F.struct(
+                        F.xxhash64(line).alias("print"), F.xxhash64(F.lit(7), line).alias("run"), x["at"].alias("at"), x["n"].alias("n")
                     ),
-                    lambda x: x.isNotNull(),
                 ),
             )
 
+        return let(bounds, of)
+
+    def counted(units: Column, odd: Column) -> Column:
+        by_matcher = F.transform(units, lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
+        return F.when(odd, by_matcher).otherwise(F.transform(units, lambda u: F.size(F.split(u, " "))))
+
+    def found(units: Column, bares: Column, words: Column) -> Column:
         return F.struct(
-            F.aggregate(sizes, F.lit(0), lambda a, x: a + x).alias("n_units"),
-            prints.alias("prints"),
-            let(sizes, of_lines).alias("lines"),
+            F.size(units).alias("n_units"),
+            let(windows(F.transform(bares, lambda u: F.xxhash64(u)), words), selected).alias("prints"),
+            of_lines(units, words).alias("lines"),
         )
 
     of_text = let(
-        F.struct(F.split(text, "\n").alias("lines"), plain.alias("plain")),
-        lambda t: let(
-            F.transform(t["lines"], units_of), lambda parts: of_parts(t["lines"], parts, t["plain"])
-        ),
+        units_of(F.col("text")),
+        lambda us: let(F.transform(us, bare), lambda bs: let(counted(bs, odd), lambda ns: found(us, bs, ns))),
     )
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_text.alias("t")).select("doc_id", "text_key", "t.*")
 
@@ -245,42 +261,35 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
     )
 
 
-#: By words and windows instead of patterns.
+#: The same units in syntax that DuckDB knows.
+_ON_SQL = rf"[^{SPACE}]*[^{SPACE}.!?]{_BLANK}+"
+_UNIT_SQL = (
+    rf"(?:{_ON_SQL}){{0,{UNIT_WORDS - 1}}}(?:[^{SPACE}]*[.!?](?:[{SPACE}]+|$)|[^{SPACE}]+{_BLANK}*(?:\n[{SPACE}]*|$))"
+    rf"|(?:{_ON_SQL}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?[^{SPACE}]{{{CUT_CHARS - 1}}}[^{SPACE}.!?]{_BLANK}+"
+    rf"|(?:{_ON_SQL}){{{UNIT_WORDS}}}"
+)
 ORACLE = f"""
-with w as (
-  select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as pos, len(pieces) as last
-  from (select doc_id, regexp_extract_all(text, '[^{SPACE}]+[{SPACE}]*') as pieces from documents)),
-f as (select *, rtrim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as word,
-  contains(piece, chr(10)) or pos = last as line_end from w),
-s as (select *, line_end or right(word, 1) in ('.', '!', '?') as ends from f),
-h as (select *, ends or (length(word) = {CUT_CHARS} and not bool_or(ends) over (
-  partition by doc_id order by pos rows between current row and {REACH - 1} following)) as hard from s),
-b as (select *, hard or not bool_or(hard) over (
-  partition by doc_id order by pos rows between current row and {UNIT_WORDS - 1} following) as cut from h),
-n as (select doc_id, pos, piece,
-  coalesce(sum(cut::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)
-    as unit,
-  coalesce(sum(line_end::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)
-    as line from b),
-u as (select doc_id, unit, any_value(line) as line, count(*) as words, string_agg(piece, '' order by pos) as piece
-  from n group by doc_id, unit),
-r as (select doc_id, unit, rtrim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, words from u),
-g as (select doc_id, unit,
-  array_to_string(list(bare) over three, chr(1)) as run, sum(words) over three as words, count(*) over three as units
-  from r window three as (partition by doc_id order by unit rows between current row and {WINDOW - 1} following)),
-g2 as (select doc_id, unit, row_number() over (partition by run order by doc_id, unit) as nth from g
-  where units = {WINDOW} and words >= {LEAST_WORDS}),
-l as (select doc_id, line, rtrim(string_agg(piece, '' order by pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12)
-  || chr(13)) as content from n group by doc_id, line having count(*) >= {LEAST_WORDS}),
-l2 as (select doc_id, line, row_number() over (partition by content order by doc_id, line) as nth from l),
-gone as (select distinct doc_id, unnest(generate_series(unit::bigint, unit::bigint + {WINDOW - 1})) as unit from g2 where nth > 1
-  union select u.doc_id, u.unit::bigint from u join l2 on u.doc_id = l2.doc_id and u.line = l2.line where l2.nth > 1),
-k as (select u.doc_id, count(*) as n_units, count(gone.unit) as n_removed,
-  coalesce(string_agg(piece, '' order by u.unit) filter (where gone.unit is null), '') as kept
-  from u left join gone on u.doc_id = gone.doc_id and u.unit = gone.unit group by u.doc_id)
-select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed,
-  case when coalesce(n_removed, 0) = 0 then text else regexp_extract(text, '{LEAD}') || kept end as text
-from documents d left join k on d.doc_id = k.doc_id
+with t as (select doc_id, text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) as blank from documents),
+p as (select doc_id, text, regexp_extract_all(text, '{_UNIT_SQL}') as pieces from t),
+i as (select doc_id, unnest(string_split(text, chr(10))) as line, blank,
+  generate_subscripts(string_split(text, chr(10)), 1) as nth from t),
+l as (select doc_id, nth, trim(line, blank) as line, blank, regexp_extract_all(line, '{_UNIT_SQL}') as units from i),
+a as (select *, coalesce(sum(len(units)) over (
+  partition by doc_id order by nth rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from l),
+u as (select doc_id, ahead + unnest(generate_series(1, len(units))) as unit, rtrim(unnest(units), blank) as bare from a),
+w as (select doc_id, unit, array_to_string(list(bare) over three, chr(1)) as run, count(*) over three as units
+  from u window three as (partition by doc_id order by unit rows between current row and {WINDOW - 1} following)),
+c as (select * from w where units = {WINDOW} and len(regexp_extract_all(run, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
+r as (select doc_id, unit, row_number() over (partition by run order by doc_id, unit) as nth from c),
+m as (select *, row_number() over (partition by line order by doc_id, nth) as again from a
+  where len(regexp_extract_all(line, '[^{SPACE}]+')) >= {LEAST_WORDS}),
+gone as (select doc_id, unnest(generate_series(unit, unit + {WINDOW - 1})) as unit from r where nth > 1
+  union select doc_id, unnest(generate_series(ahead + 1, ahead + len(units))) from m where again > 1),
+k as (select doc_id, list(unit) as gone from gone group by doc_id)
+select p.doc_id, cast(coalesce(len(pieces), 0) as bigint) as n_units, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  case when gone is null then text else regexp_extract(text, '{LEAD}') || coalesce(array_to_string(
+    [pieces[i] for i in generate_series(1, len(pieces)) if not list_contains(gone, i)], ''), '') end as text
+from p left join k on p.doc_id = k.doc_id
 """
 
 
