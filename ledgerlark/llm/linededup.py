@@ -12,10 +12,10 @@ possible extensions of a match to both sides: a window is a repeat if the same u
 (doc_id, text hash, position). Every unit of a repeat is deleted. Overlapping repeats make a maximal repeated run, and
 each deleted unit equals a unit of an earlier run, so one copy of everything stays. Windows of fewer than LEAST_WORDS
 words never count, as strings of one-word sentences repeat by chance. Besides, a whole line of LEAST_WORDS or more
-words that equals an earlier one, but for white space around it, goes whatever its neighbours are.
+words that equals an earlier one, but for white space around its units, goes whatever its neighbours are.
 
-A window is told by two digests of 64 bits, its fingerprint and the hash of its units' hashes, a line by two hashes of
-its own, so a chance agreement of one digest deletes nothing. Nothing is paired: fingerprints, windows and lines are
+A window is told by two digests of 64 bits, its fingerprint and the hash of its units' hashes, a line by the hash of its
+units' hashes and one of their texts, so a chance agreement of one digest deletes nothing. Nothing is paired: fingerprints, windows and lines are
 counted and joined to their first place only, so a line that is in every document costs as many rows as it has
 occurrences.
 
@@ -60,18 +60,16 @@ def bare(unit: Column) -> Column:
     return F.rtrim(unit, F.lit(passages.BLANK))
 
 
-def described(docs: DataFrame, window: int, least_words: int) -> DataFrame:
+def described(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_key, n_units, prints, lines) for every row of docs(doc_id, text).
 
-    prints: each selected fingerprint with the windows (at, run) that it is the least of. lines: two hashes of each line
-    of so many words, its first unit and its number of units.
+    prints: each selected fingerprint, the first window `at` that it is the least of, and the hash of that window and of
+    those behind that it is the least of as well. lines: two digests of each line, its first unit and number of units.
     """
 
-    def windows(hashes: Column, words: Column) -> Column:
-        """Each window that is long enough: its place, where the rightmost of its least hashes stands, and its digests."""
+    def windows(hashes: Column) -> Column:
+        """Where the rightmost of the least hashes stands in each window, the least hash and the window's."""
         count = F.greatest(F.size(hashes) - window + 1, F.lit(0))
-        part = [F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window)]
-        part += [F.slice(words, k + 1, count).alias(f"n{k}") for k in range(window)]
 
         def of(z: Column, i: Column) -> Column:
             h = [z[f"h{k}"] for k in range(window)]
@@ -79,136 +77,135 @@ def described(docs: DataFrame, window: int, least_words: int) -> DataFrame:
             back = F.lit(0)
             for k in range(1, window):
                 back = F.when(h[k] == least, F.lit(k)).otherwise(back)
-            size = sum((z[f"n{k}"] for k in range(1, window)), z["n0"])
-            return F.when(
-                size >= least_words,
-                F.struct((i + back).alias("chosen"), least.alias("print"), i.alias("at"), F.xxhash64(*h).alias("run")),
-            )
+            return F.struct((i + back).alias("chosen"), least.alias("print"), F.xxhash64(*h).alias("run"))
 
-        return F.array_compact(F.transform(F.arrays_zip(*part), of))
+        return F.transform(F.arrays_zip(*(F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window))), of)
 
     def selected(ws: Column) -> Column:
-        """Windows of one choice are neighbours, so the others need not be looked through for them."""
-        firsts = F.filter(
-            F.transform(ws, lambda w, i: F.when(~F.get(ws, i - 1)["chosen"].eqNullSafe(w["chosen"]), i)),
-            lambda i: i.isNotNull(),
-        )
-        return F.transform(
-            firsts,
-            lambda i: F.struct(
-                F.get(ws, i)["print"].alias("print"),
-                F.transform(
-                    F.filter(F.slice(ws, i + 1, F.lit(window)), lambda w: w["chosen"] == F.get(ws, i)["chosen"]),
-                    lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")),
-                ).alias("around"),
-            ),
-        )
+        """Windows of one choice are neighbours."""
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Where words stand one blank apart they are counted without a matcher.
-    odd = F.lit(False)
-    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | F.contains(text, F.lit(x))
+        def of(w: Column, i: Column) -> Column:
+            runs = [w["run"]]
+            for k in range(1, window):
+                after = F.get(ws, i + k)
+                runs.append(F.when(after["chosen"] == w["chosen"], after["run"]))
+            first = ~F.get(ws, i - 1)["chosen"].eqNullSafe(w["chosen"])
+            named = [r.alias(f"r{k}") for k, r in enumerate(runs)]
+            return F.when(first, F.struct(w["print"].alias("print"), i.alias("at"), *named))
+
+        return F.filter(F.transform(ws, of), lambda x: x.isNotNull())
 
-    def of_lines(units: Column, words: Column) -> Column:
+    def of_lines(units: Column, bares: Column, hashes: Column) -> Column:
         """Lines are runs of units of which only the last holds the end of a line."""
         last = F.size(units) - 1
-        inner = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.contains(F.get(units, i), F.lit("\n")))
-        bounds = F.when(last >= 0, F.concat(F.array(F.lit(-1)), inner)).otherwise(F.array(F.lit(-1)))
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.contains(F.get(units, i), F.lit("\n")))
+        begins = F.when(last >= 0, F.concat(F.array(F.lit(-1)), ends)).otherwise(F.array(F.lit(-1)))
 
         def of(ends: Column) -> Column:
-            placed = F.transform(
-                F.slice(ends, F.lit(2), F.size(ends)),
-                lambda end, i: F.struct((F.get(ends, i) + 1).alias("at"), (end - F.get(ends, i)).alias("n")),
-            )
-            long_ones = F.filter(
-                placed,
-                lambda x: F.aggregate(F.slice(words, x["at"] + 1, x["n"]), F.lit(0), lambda a, n: a + n) >= least_words,
-            )
-            return F.transform(
-                long_ones,
-                lambda x: let(
-                    bare(F.array_join(F.slice(units, x["at"] + 1, x["n"]), "")),
-                    lambda line: F.struct(
-                        F.xxhash64(line).alias("print"), F.xxhash64(F.lit(7), line).alias("run"), x["at"].alias("at"), x["n"].alias("n")
-                    ),
-                ),
-            )
-
-        return let(bounds, of)
-
-    def counted(units: Column, odd: Column) -> Column:
-        by_matcher = F.transform(units, lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-        return F.when(odd, by_matcher).otherwise(F.transform(units, lambda u: F.size(F.split(u, " "))))
-
-    def found(units: Column, bares: Column, words: Column) -> Column:
+            def line(end: Column, i: Column) -> Column:
+                at, n = F.get(ends, i) + 1, end - F.get(ends, i)
+                return F.struct(
+                    F.xxhash64(F.slice(hashes, at + 1, n)).alias("print"),
+                    F.xxhash64(F.lit(7), F.slice(bares, at + 1, n)).alias("run"),
+                    at.alias("at"),
+                    n.alias("n"),
+                )
+
+            return F.transform(F.slice(ends, F.lit(2), F.size(ends)), line)
+
+        return let(begins, of)
+
+    def found(units: Column, bares: Column, hashes: Column) -> Column:
         return F.struct(
             F.size(units).alias("n_units"),
-            let(windows(F.transform(bares, lambda u: F.xxhash64(u)), words), selected).alias("prints"),
-            of_lines(units, words).alias("lines"),
+            let(windows(hashes), selected).alias("prints"),
+            of_lines(units, bares, hashes).alias("lines"),
         )
 
     of_text = let(
         units_of(F.col("text")),
-        lambda us: let(F.transform(us, bare), lambda bs: let(counted(bs, odd), lambda ns: found(us, bs, ns))),
+        lambda us: let(
+            F.transform(us, bare), lambda bs: let(F.transform(bs, lambda u: F.xxhash64(u)), lambda hs: found(us, bs, hs))
+        ),
     )
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_text.alias("t")).select("doc_id", "text_key", "t.*")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_units, starts, spans): for each text, where windows and lines (at, n) begin that occurred earlier."""
     spark = docs.sparkSession
     # Written once, as it is counted and joined; only the columns asked for are read again.
     path = fresh_path(spark, "units")
-    described(docs, window, least_words).write.parquet(path)
+    described(docs, window).write.parquet(path)
     found = spark.read.parquet(path)
     prints = found.select(F.explode("prints.print").alias("p"))
     shared = cut(prints.groupBy("p").agg(F.count("*").alias("seen")).where("seen > 1").select("p"))
-    each = found.select("doc_id", "text_key", F.explode("prints").alias("x"))
-    matched = each.join(shared, F.col("x.print") == F.col("p"), "left_semi")
-    windows = matched.select("doc_id", "text_key", F.col("x.print").alias("print"), F.explode("x.around").alias("w"))
+    each = found.select("doc_id", "text_key", F.explode("prints").alias("x")).select("doc_id", "text_key", "x.*")
+    matched = each.join(shared, F.col("print") == F.col("p"), "left_semi")
+    around = F.array(*(F.struct((F.col("at") + k).alias("at"), F.col(f"r{k}").alias("run")) for k in range(window)))
+    windows = matched.select("doc_id", "text_key", "print", F.explode(around).alias("w")).where("w.run is not null")
     windows = cut(windows.select("doc_id", "text_key", "print", "w.*"))
-    starts = passages.later(windows).select("doc_id", "text_key", "at")
     lines = cut(found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.*"))
-    spans = passages.later(lines).select("doc_id", "text_key", F.struct("at", "n").alias("span"))
     sizes = cut(found.select("doc_id", "text_key", "n_units").distinct())
     remove(spark, path)  # windows, lines and sizes stand on checkpoints of their own
+    passages.release(spark)
+    starts = cut(passages.later(windows).select("doc_id", "text_key", "at"))
+    passages.release(spark)
+    spans = passages.later(lines).select("doc_id", "text_key", F.struct("at", "n").alias("span"))
     both = sizes.unionByName(starts, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)
-    return both.groupBy("doc_id", "text_key").agg(
+    found = both.groupBy("doc_id", "text_key").agg(
         F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"), F.collect_set("span").alias("spans")
     )
+    found = cut(found)
+    passages.release(spark)
+    return found
+
+
+def words_of(units: Column) -> Column:
+    return F.transform(units, lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
+
 
+def units_gone(counts: Column, window: int, least_words: int) -> Column:
+    """The units that those of starts and spans delete that have enough words; counts holds the words of each unit."""
 
-def units_gone(window: int) -> Column:
-    """The units that starts and spans delete."""
-    by_window = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))
-    by_line = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    def enough(at: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(counts, at + 1, n), F.lit(0), lambda a, x: a + x) >= least_words
+
+    starts = F.filter("starts", lambda s: enough(s, F.lit(window)))
+    spans = F.filter("spans", lambda s: enough(s["at"], s["n"]))
+    by_window = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1))))
+    by_line = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
     return F.array_distinct(F.concat(by_window, by_line))
 
 
+def joined_to(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """row, with all columns of docs, and what found(doc_id, text_key, ..) has of it."""
+    lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    found = found.withColumnsRenamed({"doc_id": "of", "text_key": "key"})
+    same = F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key"))
+    return lean.join(found, same, "left")
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, n_units, n_removed, text): row holds all columns of docs, text has later repeated runs deleted."""
-    lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    cutting = repeats(docs.select("doc_id", "text"), window, least_words).select(
-        F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "n_units", units_gone(window).alias("gone")
-    )
-    joined = lean.join(
-        cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
-    )
+    joined = joined_to(docs, repeats(docs.select("doc_id", "text"), window))
     text = F.col("row.text")
-    units = units_of(text)
-    kept = let(
-        units,
-        lambda us: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(us) - 1), F.col("gone")), lambda i: F.get(us, i)), ""
+
+    def cleaned(units: Column, gone: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone)
+        kept = F.concat(F.regexp_extract(text, LEAD, 0), F.array_join(F.transform(left, lambda i: F.get(units, i)), ""))
+        return F.struct(F.size(gone).alias("n"), F.when(F.size(gone) == 0, text).otherwise(kept).alias("text"))
+
+    with_units = let(
+        units_of(text),
+        lambda us: let(
+            let(words_of(us), lambda counts: units_gone(counts, window, least_words)), lambda gone: cleaned(us, gone)
         ),
     )
-    return joined.select(
-        "row",
-        "n_units",
-        F.size("gone").alias("n_removed"),
-        F.when(F.size("gone") == 0, text).otherwise(F.concat(F.regexp_extract(text, LEAD, 0), kept))
-        .alias("text"),
+    as_it_is = F.struct(F.lit(0).alias("n"), text.alias("text"))
+    done = F.when(F.size("starts") + F.size("spans") > 0, with_units).otherwise(as_it_is)
+    return joined.select("row", "n_units", done.alias("done")).select(
+        "row", "n_units", F.col("done.n").alias("n_removed"), F.col("done.text").alias("text")
     )
 
 
@@ -217,35 +214,35 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
 
     n_removed counts words. Everything is found in the texts as they come, so no deletion hides another.
     """
-    lean = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     read = docs.select("doc_id", "text")
     runs = passages.repeated_runs(read).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("runs"))
     runs = cut(runs)
     passages.release(docs.sparkSession)
-    units = repeats(read).select("doc_id", "text_key", units_gone(WINDOW).alias("units")).where(F.size("units") > 0)
+    units = repeats(read).where(F.size("starts") + F.size("spans") > 0).drop("n_units")
     both = units.unionByName(runs, allowMissingColumns=True)
     cutting = both.groupBy("doc_id", "text_key").agg(
-        F.flatten(F.collect_list("units")).alias("units"), F.flatten(F.collect_list("runs")).alias("runs")
-    )
-    cutting = cutting.withColumnsRenamed({"doc_id": "of", "text_key": "key"})
-    joined = lean.join(
-        cutting, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left"
+        *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "spans", "runs"))
     )
+    joined = joined_to(docs, cutting)
     text = F.col("row.text")
     nothing = F.array().cast("array<int>")
     by_run = F.flatten(F.transform("runs", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
 
     def of_units(counts: Column) -> Column:
-        """The places of the words of units."""
+        """The places of the words of deleted units."""
         return let(
             running_totals(counts),
             lambda ahead: F.flatten(
-                F.transform("units", lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1))
+                F.transform(
+                    units_gone(counts, WINDOW, LEAST_WORDS),
+                    lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1),
+                )
             ),
         )
 
-    counts = F.transform(units_of(text), lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-    gone = F.array_distinct(F.concat(by_run, F.when(F.size("units") > 0, let(counts, of_units)).otherwise(nothing)))
+    any_units = F.size("starts") + F.size("spans") > 0
+    by_unit = F.when(any_units, let(words_of(units_of(text)), of_units)).otherwise(nothing)
+    gone = F.array_distinct(F.concat(by_run, by_unit))
     words = F.regexp_extract_all(text, F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0))
     kept = let(
         words,
@@ -273,7 +270,8 @@ with t as (select doc_id, text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) |
 p as (select doc_id, text, regexp_extract_all(text, '{_UNIT_SQL}') as pieces from t),
 i as (select doc_id, unnest(string_split(text, chr(10))) as line, blank,
   generate_subscripts(string_split(text, chr(10)), 1) as nth from t),
-l as (select doc_id, nth, trim(line, blank) as line, blank, regexp_extract_all(line, '{_UNIT_SQL}') as units from i),
+n as (select *, regexp_extract_all(line, '{_UNIT_SQL}') as units from i),
+l as (select doc_id, nth, units, blank, array_to_string([rtrim(x, blank) for x in units], chr(1)) as line from n),
 a as (select *, coalesce(sum(len(units)) over (
   partition by doc_id order by nth rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from l),
 u as (select doc_id, ahead + unnest(generate_series(1, len(units))) as unit, rtrim(unnest(units), blank) as bare from a),
@@ -282,7 +280,7 @@ w as (select doc_id, unit, array_to_string(list(bare) over three, chr(1)) as run
 c as (select * from w where units = {WINDOW} and len(regexp_extract_all(run, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
 r as (select doc_id, unit, row_number() over (partition by run order by doc_id, unit) as nth from c),
 m as (select *, row_number() over (partition by line order by doc_id, nth) as again from a
-  where len(regexp_extract_all(line, '[^{SPACE}]+')) >= {LEAST_WORDS}),
+  where len(regexp_extract_all(line, '[^{SPACE}\\x01]+')) >= {LEAST_WORDS}),
 gone as (select doc_id, unnest(generate_series(unit, unit + {WINDOW - 1})) as unit from r where nth > 1
   union select doc_id, unnest(generate_series(ahead + 1, ahead + len(units))) from m where again > 1),
 k as (select doc_id, list(unit) as gone from gone group by doc_id)

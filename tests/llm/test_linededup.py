@@ -43,8 +43,8 @@ def brute(rows, window=linededup.WINDOW, least=linededup.LEAST_WORDS):
             seen.add(run)
         for n in {n for _, n in found}:
             own = [j for j, (_, m) in enumerate(found) if m == n]
-            line = "".join(found[j][0] for j in own).rstrip(SPACE)
-            if len(line.split()) >= least:
+            line = "\1".join(bare[j] for j in own)
+            if len(line.replace("\1", " ").split()) >= least:
                 if line in seen:
                     gone.update(own)
                 seen.add(line)
@@ -108,8 +108,8 @@ def test_one_equal_digest_deletes_nothing(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     right = linededup.described
 
-    def collided(docs, window, least):
-        found = right(docs, window, least)
+    def collided(docs, window):
+        found = right(docs, window)
         alike = F.transform("prints", lambda x: x.withField("print", F.lit(1).cast("long")))
         lines = F.transform("lines", lambda x: x.withField("print", F.lit(1).cast("long")))
         return found.withColumns({"prints": alike, "lines": lines})
