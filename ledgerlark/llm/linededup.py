@@ -40,12 +40,14 @@ LEAST_CUT = 2
 WINDOW = 3
 LEAST_WORDS = 6
 
-_BLANK = r"[\x20\x09\x0B-\x0D]"  # white space that ends no line
+_WORD = r"[^ \t\n\x0B\f\r]"
+_BLANK = r"[ \t\x0B\f\r]"  # white space that ends no line
+_SPACE = r"[ \t\n\x0B\f\r]"
 #: A word that ends neither its line nor a sentence, and the white space behind. What was once matched is never given
 #: back, which spares the matcher its way back through every word.
-_ON = rf"[^{SPACE}]++(?<![.!?]){_BLANK}++(?=[^{SPACE}])"
-_END = rf"[^{SPACE}]++(?:(?<=[.!?])|(?={_BLANK}*+(?:\n|\z)))[{SPACE}]*+"
-_CUT = rf"[^{SPACE}]{{{CUT_CHARS - 1}}}[^{SPACE}.!?]{_BLANK}++(?=[^{SPACE}])"
+_ON = rf"{_WORD}++(?<![.!?]){_BLANK}++(?={_WORD})"
+_END = rf"{_WORD}++(?:(?<=[.!?])|(?={_BLANK}*+(?:\n|\z))){_SPACE}*+"
+_CUT = rf"{_WORD}{{{CUT_CHARS}}}(?<![.!?]){_BLANK}++(?={_WORD})"
 UNIT = (
     rf"(?:{_ON}){{0,{UNIT_WORDS - 1}}}+{_END}|(?:{_ON}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?{_CUT}|(?:{_ON}){{{UNIT_WORDS}}}"
 )
@@ -53,7 +55,9 @@ LEAD = rf"^[{SPACE}]*"
 
 
 def units_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.array().cast("array<string>"))
+    # Java knows the two classes by shorter names for which it has faster tests.
+    pattern = UNIT.replace(_WORD, r"\S").replace(_SPACE, r"\s")
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
 def bare(unit: Column) -> Column:
@@ -150,6 +154,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     remove(spark, path)  # windows, lines and sizes stand on checkpoints of their own
     passages.release(spark)
     starts = cut(passages.later(windows).select("doc_id", "text_key", "at"))
+    del each, matched, windows, shared
     passages.release(spark)
     spans = passages.later(lines).select("doc_id", "text_key", F.struct("at", "n").alias("span"))
     both = sizes.unionByName(starts, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)
@@ -157,22 +162,21 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"), F.collect_set("span").alias("spans")
     )
     found = cut(found)
+    del starts, spans, lines, sizes, both
     passages.release(spark)
     return found
 
 
-def words_of(units: Column) -> Column:
-    return F.transform(units, lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-
-
-def units_gone(counts: Column, window: int, least_words: int) -> Column:
-    """The units that those of starts and spans delete that have enough words; counts holds the words of each unit."""
+def units_gone(units: Column, window: int, least_words: int) -> Column:
+    """The units that those of starts and spans delete that have enough words."""
+    many = rf"^(?:\S++\s++){{{max(0, least_words - 1)}}}\S"
 
     def enough(at: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(counts, at + 1, n), F.lit(0), lambda a, x: a + x) >= least_words
+        return F.array_join(F.slice(units, at + 1, n), "").rlike(many)
 
     starts = F.filter("starts", lambda s: enough(s, F.lit(window)))
-    spans = F.filter("spans", lambda s: enough(s["at"], s["n"]))
+    # Of a line, so many units are looked at as have the words for sure.
+    spans = F.filter("spans", lambda s: enough(s["at"], F.least(s["n"], F.lit(least_words))))
     by_window = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1))))
     by_line = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
     return F.array_distinct(F.concat(by_window, by_line))
@@ -198,9 +202,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_
 
     with_units = let(
         units_of(text),
-        lambda us: let(
-            let(words_of(us), lambda counts: units_gone(counts, window, least_words)), lambda gone: cleaned(us, gone)
-        ),
+        lambda us: let(units_gone(us, window, least_words), lambda gone: cleaned(us, gone)),
     )
     as_it_is = F.struct(F.lit(0).alias("n"), text.alias("text"))
     done = F.when(F.size("starts") + F.size("spans") > 0, with_units).otherwise(as_it_is)
@@ -228,20 +230,24 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<int>")
     by_run = F.flatten(F.transform("runs", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
 
-    def of_units(counts: Column) -> Column:
+    def of_units(units: Column) -> Column:
         """The places of the words of deleted units."""
+        counts = F.transform(units, lambda u: F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
         return let(
-            running_totals(counts),
-            lambda ahead: F.flatten(
-                F.transform(
-                    units_gone(counts, WINDOW, LEAST_WORDS),
-                    lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(counts, u) - 1),
-                )
+            counts,
+            lambda ns: let(
+                running_totals(ns),
+                lambda ahead: F.flatten(
+                    F.transform(
+                        units_gone(units, WINDOW, LEAST_WORDS),
+                        lambda u: F.sequence(F.get(ahead, u), F.get(ahead, u) + F.get(ns, u) - 1),
+                    )
+                ),
             ),
         )
 
     any_units = F.size("starts") + F.size("spans") > 0
-    by_unit = F.when(any_units, let(words_of(units_of(text)), of_units)).otherwise(nothing)
+    by_unit = F.when(any_units, let(units_of(text), of_units)).otherwise(nothing)
     gone = F.array_distinct(F.concat(by_run, by_unit))
     words = F.regexp_extract_all(text, F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0))
     kept = let(
@@ -259,10 +265,11 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
 
 
 #: The same units in syntax that DuckDB knows.
-_ON_SQL = rf"[^{SPACE}]*[^{SPACE}.!?]{_BLANK}+"
+_BLANK_SQL = r"[\x20\x09\x0B-\x0D]"
+_ON_SQL = rf"[^{SPACE}]*[^{SPACE}.!?]{_BLANK_SQL}+"
 _UNIT_SQL = (
-    rf"(?:{_ON_SQL}){{0,{UNIT_WORDS - 1}}}(?:[^{SPACE}]*[.!?](?:[{SPACE}]+|$)|[^{SPACE}]+{_BLANK}*(?:\n[{SPACE}]*|$))"
-    rf"|(?:{_ON_SQL}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?[^{SPACE}]{{{CUT_CHARS - 1}}}[^{SPACE}.!?]{_BLANK}+"
+    rf"(?:{_ON_SQL}){{0,{UNIT_WORDS - 1}}}(?:[^{SPACE}]*[.!?](?:[{SPACE}]+|$)|[^{SPACE}]+{_BLANK_SQL}*(?:\n[{SPACE}]*|$))"
+    rf"|(?:{_ON_SQL}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?[^{SPACE}]{{{CUT_CHARS - 1}}}[^{SPACE}.!?]{_BLANK_SQL}+"
     rf"|(?:{_ON_SQL}){{{UNIT_WORDS}}}"
 )
 ORACLE = f"""

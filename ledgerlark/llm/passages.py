@@ -15,6 +15,8 @@ equal doc_id and text are the same document; null doc_id sorts first; null or em
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ BLANK = " \t\n\x0b\f\r"
 
 def release(spark: SparkSession) -> None:
     """Has the driver notice shuffles that only earlier, cut-off steps used, so that their files go."""
+    gc.collect()
     spark._jvm.java.lang.System.gc()
 
 
