@@ -7,8 +7,8 @@ the inverse root of the landmarks' own kernel matrix, are the features on which
 for each language against the rest. As the kernel is an inner product of presence vectors, landmarks, whitening and
 ridge weights multiply out to one matrix of bins x languages, by which batches of texts are scored.
 
-Fitting uses a bounded sample: for each language the SAMPLE labelled rows of least hash. Only their bit sets reach
-the driver, about 1 kB a row. Every whole text is scored; nothing is cut off.
+Fitting uses a bounded sample: for each language the SAMPLE labelled rows of least hash, fewer if that were more than
+MOST_ROWS in all. Only their bit sets reach the driver, about 1 kB a row, where they become at most 270 MB of floats. Every whole text is scored; nothing is cut off.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing could be
 learned; null lang rows are predicted but never learned from; null doc_id counts as not held out (its crc32 is
@@ -31,6 +31,8 @@ from ledgerlark.llm.shared import table
 BINS = (256, 2048, 6144)
 BLEND = (0.5, 1.0, 1.5)
 SAMPLE = 300
+#: Rows fitted on in all; with more languages each has fewer. As vectors of floats they take 8448 * 4 bytes each, 270 MB.
+MOST_ROWS = 8000
 MOST_LANGUAGES = 2000
 LANDMARKS = 128
 RIDGE = 1e-2
@@ -87,14 +89,14 @@ def fit(labels: list[str], seen: np.ndarray) -> Model:
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((sum(BINS), 0), np.float32))
-    x = vectors(seen).astype(np.float64)
+    x = vectors(seen)
     y = np.array([[1.0 if a == b else -1.0 for b in langs] for a in labels])
     # Landmarks are taken from the languages in turn.
     rank = pd.Series(labels).groupby(np.array(labels)).cumcount().to_numpy()
-    marks = x[np.argsort(rank, kind="stable")[:LANDMARKS]]
+    marks = x[np.argsort(rank, kind="stable")[:LANDMARKS]].astype(np.float64)
     values, basis = np.linalg.eigh(marks @ marks.T)
     whiten = basis / np.sqrt(np.maximum(values, 1e-6)) @ basis.T
-    z = x @ marks.T @ whiten
+    z = x @ (marks.T @ whiten)
     each = 1.0 / np.array([labels.count(a) for a in labels])  # languages count alike
     fitted = np.linalg.solve(z.T @ (z * each[:, None]) + RIDGE * np.eye(z.shape[1]), z.T @ (y * each[:, None]))
     return Model(langs, (marks.T @ whiten @ fitted).astype(np.float32))
@@ -102,27 +104,32 @@ def fit(labels: list[str], seen: np.ndarray) -> Model:
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the rows of docs(doc_id, text, lang) that have a label and a text with a letter."""
-    usable = docs.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lang"))
-    ranked = usable.select("lang", order.alias("order")).withColumn(
+    # Null or repeated doc_ids are told apart by text and by their place in the input, so a language has no more than
+    # `sample` rows whatever repeats.
+    tie = F.struct(
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lang")).alias("id"),
+        F.xxhash64("text").alias("text"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    usable = docs.select("lang", "text", tie.alias("order")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    labels = docs.where("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels are no set of languages")
+    sample = max(1, min(sample, MOST_ROWS // max(1, labels)))
+    ranked = usable.select("lang", "order").withColumn(
         "n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     )
     ends = ranked.where(F.col("n") <= sample).groupBy("lang").agg(F.max("order").alias("end"))
     # One row for each language; texts stay where they are.
-    known = ends.limit(MOST_LANGUAGES + 1).collect()
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} different labels are no set of languages")
-    ends = F.broadcast(docs.sparkSession.createDataFrame(known, ends.schema))
+    ends = F.broadcast(docs.sparkSession.createDataFrame(ends.collect(), ends.schema))
 
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.packbits(presence(t)).tobytes())
 
-    chosen = (
-        usable.withColumn("order", order)
-        .join(ends.withColumnRenamed("lang", "of"), (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("end")))
-        .select("lang", "order", bits("text").alias("bits"))
-    )
+    chosen = usable.join(
+        ends.withColumnRenamed("lang", "of"), (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("end"))
+    ).select("lang", F.col("order.id").alias("order"), bits("text").alias("bits"))
     rows = sorted(map(tuple, chosen.collect()))
     seen = [np.unpackbits(np.frombuffer(r[2], np.uint8))[: sum(BINS)].astype(bool) for r in rows]
     by_order = sorted(range(len(rows)), key=lambda i: rows[i][1:])

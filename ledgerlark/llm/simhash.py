@@ -15,8 +15,8 @@ pivots, the 64 fingerprints of one bit. Their distances determine the midpoint i
 a cell are within two bits of each other, and a link to the cell's smallest member keeps every component whole.
 
 Edge cases: null text counts as a text without words; a text without words has fingerprint zero, and all such
-texts are linked like any other; a text of fewer words than a shingle is one shingle; null doc_id rows are kept and
-take the component of their class; repeated rows come out repeated; an empty table gives no rows; other columns of
+texts are linked like any other; a text of fewer words than a shingle is one shingle; null doc_id rows are kept, link
+others, and take the component of their class (null if no row of the component has a doc_id); repeated rows come out repeated; an empty table gives no rows; other columns of
 the input are not read.
 """
 
@@ -106,6 +106,11 @@ def coordinate_gap(a: Column, b: Column) -> Column:
     return F.greatest(*(F.abs(nibble(a, i) - nibble(b, i)) for i in range(16)))
 
 
+def spread(classes: DataFrame, key: str) -> DataFrame:
+    """classes dealt out again: each is about to become many rows, and small partitions were put together."""
+    return classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): edges between the nodes of classes(fp, node) whose components are those of the link graph."""
     row = pivot_row(F.col("fp"))
@@ -139,13 +144,13 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component_id is the smallest doc_id reachable over links, the document's own included.
     """
     prints = cut(fingerprints(docs, words))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    classes = cut(classes)
-    known = connected_components(links(classes.where("node is not null")))
-    of_class = classes.join(known, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_class, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    # A class is known by its fingerprint, so rows without doc_id link others like any row.
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    known = connected_components(links(spread(classes, "fp").select("fp", F.col("fp").alias("node"))))
+    of_class = cut(classes.join(known, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = of_class.join(least, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
 from ledgerlark.llm.shared import cut
-from ledgerlark.llm.simhash import links, majority, shingle_hashes
+from ledgerlark.llm.simhash import links, majority, shingle_hashes, spread
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -85,7 +85,9 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def bucket_members(classes: DataFrame) -> DataFrame:
     """(band, key, m, n, copies, members): the classes of every bucket that has two or more."""
-    filed = classes.select(F.col("set_key").alias("m"), "n", "copies", F.posexplode("bands").alias("band", "key"))
+    filed = spread(classes, "set_key").select(
+        F.col("set_key").alias("m"), "n", "copies", F.posexplode("bands").alias("band", "key")
+    )
     buckets = cut(filed.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"))
     return cut(filed.join(buckets, ["band", "key"]))
 
@@ -101,7 +103,7 @@ def anchors_of(large: DataFrame) -> DataFrame:
 def candidates(classes: DataFrame, members: DataFrame, anchors: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of classes(set_key, fp, n, bands, copies) to be verified first."""
     by_print = classes.groupBy("fp").agg(F.min("set_key").alias("node"))
-    close = links(by_print)
+    close = links(spread(by_print, "fp"))
     same = classes.join(by_print, "fp").where("set_key <> node").select(F.col("node").alias("a"), F.col("set_key").alias("b"))
     small = members.where(F.col("members") <= PAIRS)
     pairs = (
@@ -154,15 +156,15 @@ def keys_of(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
 
 
-def sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(set_key, set) for every class of pairs; texts(set_key, text) has a text of each class."""
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(set_key, set) of texts(set_key, text), a text of each class."""
 
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: np.unique(shingle_hashes(t, words)).view(np.int64))
 
-    return cut(texts.join(keys_of(pairs), "set_key", "left_semi").select("set_key", sets("text").alias("set")))
+    return cut(texts.select("set_key", sets("text").alias("set")))
 
 
 def among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,9 +201,12 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     anchors = anchors_of(members.where(F.col("members") > PAIRS))
     pairs = cut(candidates(classes, members, anchors, similarity))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    firsts = classes.select("set_key", F.col("first.row_key").alias("k"))
+    # Only classes of a pair are looked up again, so few texts move.
+    wanted = keys_of(pairs)
+    firsts = cut(classes.join(wanted, "set_key", "left_semi").select("set_key", F.col("first.row_key").alias("k")))
+    firsts = F.broadcast(firsts) if firsts.count() <= FEW else firsts
     texts = docs.select(key.alias("k"), "text").join(firsts, "k").dropDuplicates(["set_key"])
-    sets = sets_of(pairs, texts, words)
+    sets = sets_of(texts, words)
     found_links = cut(verified(pairs, sets, similarity))
     known = connected_components(found_links)
     left = unsettled(members, known)

@@ -55,3 +55,17 @@ def test_nystroem_scores_match_the_kernel_form():
     dual = np.linalg.solve(gram + langid.RIDGE * 20 * np.eye(60), y)
     assert (gram @ dual).argmax(1).tolist() == (v @ model.scorer).argmax(1).tolist()
     assert gram @ dual == pytest.approx(v @ model.scorer, abs=2e-2)
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch):
+    seen = []
+    right = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda labels, bits: seen.append(len(labels)) or right(labels, bits))
+    rows = [(None, f"the cat number {i % 7} sat on the mat", "en") for i in range(900)]
+    rows += [(3, "der Hund lief um das Haus", "de")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langid.learned(df)
+    assert seen == [2 * langid.SAMPLE]
+    monkeypatch.setattr(langid, "MOST_ROWS", 20)
+    langid.learned(df)
+    assert seen[1] == 20

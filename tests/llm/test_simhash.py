@@ -68,3 +68,12 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
 
     known = {r["node"]: r["component"] for r in connected_components(simhash.links(df)).collect()}
     assert [known.get(i, i) for i, _ in items] == components(items)
+
+
+def test_a_row_without_doc_id_links_others(spark, monkeypatch):
+    rows = [(1, 0), (None, 3), (2, 15), (7, 1 << 40 | 0xFFFF0000), (None, 0x0F0F0F0F)]
+    monkeypatch.setattr(
+        simhash, "fingerprints", lambda docs, words: spark.createDataFrame(rows, "doc_id long, fp long")
+    )
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (2, 1), (7, 7), (None, None)}
