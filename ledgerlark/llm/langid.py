@@ -35,6 +35,8 @@ SAMPLE = 300
 MOST_ROWS = 8000
 MOST_LANGUAGES = 2000
 LANDMARKS = 128
+#: Texts with fewer different n-grams are too short to be told from an unknown language.
+LEAST_BINS = 300
 RIDGE = 1e-2
 SHARPNESS = 6.0
 BATCH = 256
@@ -69,19 +71,26 @@ class Model:
     def __init__(self, langs: list[str], scorer: np.ndarray) -> None:
         self.langs, self.scorer = langs, scorer
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether each text fits its language (True if nothing could be learned).
+
+        A text with enough n-grams fits none if each language's regression puts it with the rest (below 0 of -1 to 1).
+        With two languages one of both always has it, so nothing is rejected.
+        """
+        langs, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [not self.langs] * len(texts)
         # A million letter-free characters should not be walked before the kernel finds no use for them.
         usable = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)] if self.langs else []
         for at in range(0, len(usable), BATCH):
             part = usable[at : at + BATCH]
-            raw = vectors(np.stack([presence(texts[i]) for i in part])) @ self.scorer
+            seen = np.stack([presence(texts[i]) for i in part])
+            raw = vectors(seen) @ self.scorer
+            fit = (raw.max(axis=1) >= 0) | (seen.sum(axis=1) < LEAST_BINS) | (len(self.langs) < 3)
             best = raw.argmax(axis=1)
             odds = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
             sure = odds.max(axis=1) / odds.sum(axis=1)
-            for i, b, s in zip(part, best, sure, strict=True):
-                langs[i], scores[i] = self.langs[b], float(s)
-        return langs, scores
+            for i, b, s, f in zip(part, best, sure, fit, strict=True):
+                langs[i], scores[i], fits[i] = self.langs[b], float(s), bool(f)
+        return langs, scores, fits
 
 
 def fit(labels: list[str], seen: np.ndarray) -> Model:
@@ -137,13 +146,13 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predictions(text: Column, model: Model) -> Column:
-    """A struct of lang_pred and score."""
+    """A struct of lang_pred, score and fits."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fits boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = model.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores, fits = model.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "fits": fits})
 
     return of(text)
 

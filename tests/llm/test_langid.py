@@ -69,3 +69,18 @@ def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_ROWS", 20)
     langid.learned(df)
     assert seen[1] == 20
+
+
+def test_unknown_languages_fit_none(docs_rows):
+    """Nearly all long texts of other letters fit none of four languages; texts not learned from fit."""
+    rng = np.random.default_rng(3)
+    invented = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(150))
+    odd = [invented("абвгдежзиклмнопрст") for _ in range(20)] + [invented("bcdfghjklmnpqrstvwxz") for _ in range(20)]
+    labelled = [r for r in docs_rows if r["lang"] and r["text"]]
+    for langs in (["de", "en"], ["de", "en", "es", "fr"]):
+        own = [r for r in labelled if r["lang"] in langs]
+        learn, rest = own[::2], own[1::2]
+        model = langid.fit([r["lang"] for r in learn], np.stack([langid.presence(r["text"]) for r in learn]))
+        assert sum(model.predict(odd)[2]) == 40 if len(langs) == 2 else sum(model.predict(odd)[2]) <= 4
+        assert all(model.predict([r["text"] for r in rest])[2])
+    assert langid.fit([], np.zeros((0, sum(langid.BINS)), bool)).predict(odd)[2] == [True] * 40
