@@ -3,9 +3,9 @@
 Each word goes that stands in a run of RUN_WORDS words which occurred earlier, wherever in a line or sentence either
 starts; white space does not count. So every maximal repeated run of that length or more goes to its last word.
 Fingerprints are hashes of GRAM words that begin at an anchor: a word whose hash is divisible by SPARSE, or one that has
-no such word within REACH words to either side. Whether a word is an anchor depends on its neighbourhood alone and any
-2 * REACH + GRAM words hold a fingerprint, so equal runs share one, and only the runs around fingerprints that two
-places share are written out and compared. A text that is all of an earlier document's goes whole and needs no runs of
+no such word within REACH = (RUN_WORDS - GRAM) / 2 words to either side. Whether a word is an anchor depends on its neighbourhood alone and any
+2 * REACH + GRAM words hold a fingerprint. All fingerprints of a repeated run occur twice, so only the runs without any
+that occurs once are written out and compared. A text that is all of an earlier document's goes whole and needs no runs of
 its own. Runs and whole texts are told by two digests of 64 bits each.
 
 A place is a span (at, n): n words from the word `at` on, counted over the whole text. Runs are counted and
@@ -60,14 +60,17 @@ def fingerprints(hashes: Column, run_words: int, gram: int) -> Column:
 
     def anchors(marked: Column) -> Column:
         """The marked places and those that are further than reach from any; either end counts as marked."""
+
+        def gaps(ends: Column) -> Column:
+            return F.transform(
+                ends,
+                lambda p, i: F.when(
+                    F.get(ends, i + 1) - p > 2 * reach + 1, F.sequence(p + (reach + 1), F.get(ends, i + 1) - (reach + 1))
+                ),
+            )
+
         ends = F.concat(F.array(F.lit(-1)), marked, F.array(last + 1))
-        gaps = F.transform(
-            ends,
-            lambda p, i: F.when(
-                F.get(ends, i + 1) - p > 2 * reach + 1, F.sequence(p + (reach + 1), F.get(ends, i + 1) - (reach + 1))
-            ),
-        )
-        return F.concat(marked, F.flatten(F.array_compact(gaps)))
+        return F.concat(marked, F.flatten(F.array_compact(let(ends, gaps))))
 
     marked = F.filter(F.sequence(F.lit(0), last), lambda i: F.pmod(F.get(hashes, i), F.lit(SPARSE)) == 0)
     return F.transform(
@@ -101,23 +104,29 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     gone = copies.select(F.xxhash64("doc_id", "text_key").alias("d"))
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
     own = found.join(gone, F.col("doc") == F.col("d"), "left_anti")
-    prints = own.select("doc", "n", F.explode("x").alias("x")).select("doc", "n", "x.*")
+    prints = own.select("doc", F.explode("x").alias("x")).select("doc", "x.*")
     shared = cut(prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select(F.col("print").alias("p")))
     release(spark)
-    mine = prints.join(shared, F.col("print") == F.col("p"), "left_semi").select("doc", "n", "at")
-    mine = cut(mine.groupBy("doc").agg(F.max("n").alias("n"), F.collect_set("at").alias("ats")))
-    remove(spark, path)
+    mine = prints.join(shared, F.col("print") == F.col("p"), "left_semi").select(F.col("doc").alias("d"), "at")
+    mine = cut(mine.groupBy("d").agg(F.collect_set("at").alias("ats")))
+    del prints
     release(spark)
+    every = own.select("doc", "n", F.col("x.at").alias("all"))
+    alone = F.array_sort(F.concat(F.array_except("all", "ats"), F.array(F.lit(-1), F.col("n") - (gram - 1))))
+    mine = every.join(mine, F.col("doc") == F.col("d")).select("doc", alone.alias("alone"))
 
-    around = F.array_distinct(
-        F.flatten(
-            F.transform("ats", lambda p: F.sequence(F.greatest(F.lit(0), p - (width - 1)), F.least(p, F.col("n") - run_words)))
-        )
+    # Where a run has no fingerprint that stands alone, it may have occurred before; either end counts as such.
+    between = lambda b, i: F.when(
+        F.get(F.col("alone"), i + 1) - b > width, F.sequence(b + 1, F.get(F.col("alone"), i + 1) - width)
     )
+    around = F.flatten(F.array_compact(F.transform("alone", between)))
+    mine = cut(mine.select("doc", around.alias("around")).where(F.size("around") > 0))
+    remove(spark, path)
+    release(spark)
     runs = let(
         word_hashes(F.col("text")),
         lambda h: F.transform(
-            around,
+            F.col("around"),
             lambda i: let(
                 F.slice(h, i + 1, F.lit(run_words)),
                 lambda r: F.struct(i.alias("at"), F.xxhash64(r).alias("run"), F.xxhash64(F.lit(7), r).alias("print")),
