@@ -109,18 +109,22 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     release(spark)
     mine = prints.join(shared, F.col("print") == F.col("p"), "left_semi").select(F.col("doc").alias("d"), "at")
     mine = cut(mine.groupBy("d").agg(F.collect_set("at").alias("ats")))
-    del prints
+    del prints, shared
     release(spark)
     every = own.select("doc", "n", F.col("x.at").alias("all"))
     alone = F.array_sort(F.concat(F.array_except("all", "ats"), F.array(F.lit(-1), F.col("n") - (gram - 1))))
-    mine = every.join(mine, F.col("doc") == F.col("d")).select("doc", alone.alias("alone"))
 
-    # Where a run has no fingerprint that stands alone, it may have occurred before; either end counts as such.
-    between = lambda b, i: F.when(
-        F.get(F.col("alone"), i + 1) - b > width, F.sequence(b + 1, F.get(F.col("alone"), i + 1) - width)
-    )
-    around = F.flatten(F.array_compact(F.transform("alone", between)))
-    mine = cut(mine.select("doc", around.alias("around")).where(F.size("around") > 0))
+    def between(alone: Column) -> Column:
+        """Where runs begin that hold no fingerprint that stands alone; either end of the text counts as such."""
+        return F.transform(
+            alone,
+            lambda b, i: F.when(F.get(alone, i + 1) - b > width, F.sequence(b + 1, F.get(alone, i + 1) - width)),
+        )
+
+    around = F.flatten(F.array_compact(let(alone, between)))
+    mine = every.join(mine, F.col("doc") == F.col("d")).select("doc", around.alias("around"))
+    mine = cut(mine.where(F.size("around") > 0))
+    del every, own, found, whole
     remove(spark, path)
     release(spark)
     runs = let(
@@ -136,11 +140,14 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM)
     near = texts.join(mine, F.xxhash64("doc_id", "text_key") == F.col("doc"))
     path = fresh_path(spark, "runs")
     near.select("doc_id", "text_key", F.explode(runs).alias("x")).select("doc_id", "text_key", "x.*").write.parquet(path)
+    del near, mine
     rows = spark.read.parquet(path)
     release(spark)
     again = later(rows).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     again = cut(again)
+    del rows
     remove(spark, path)
+    release(spark)
     # Starts that follow one another make one span, from the first of them to the end of the last one's run.
     neighbours = lambda step: F.filter(
         F.transform("ats", lambda p, i: F.struct(p.alias("p"), F.get(F.col("ats"), i + step).alias("q"))),
