@@ -41,7 +41,15 @@ shape(
     "select p_partkey, regexp_replace(p_name, '[aeiou]', '*') as masked from {part} where p_type like '%A%' or p_name like 'p%'",
     "select p_partkey, regexp_replace(p_name, '[aeiou]', '*', 'g') as masked from part where p_type like '%A%' or p_name like 'p%'",
 )
-shape("not_in_with_null", "select count(*) as n from {orders} where o_orderkey not in (select nullif(l_orderkey, 1) from {lineitem})")
+# NOT IN as what it means, a null in the list and else an anti join: as one predicate it would broadcast the list,
+# whatever its size.
+shape(
+    "not_in_with_null",
+    """select case when (select count(*) from {lineitem} where nullif(l_orderkey, 1) is null) > 0 then cast(0 as bigint)
+    else (select count(*) from {orders} o where (o.o_orderkey is not null or (select count(*) from {lineitem}) = 0)
+    and not exists (select 1 from {lineitem} l where nullif(l.l_orderkey, 1) = o.o_orderkey)) end as n""",
+    "select count(*) as n from orders where o_orderkey not in (select nullif(l_orderkey, 1) from lineitem)",
+)
 shape(
     "null_safe_equality",
     """select a.o_orderkey from {orders} a where nullif(a.o_orderstatus, 'F') is not distinct from nullif(a.o_orderpriority, 'x')
@@ -81,9 +89,9 @@ shape(
 # Aggregation.
 shape(
     "pricing_summary",
-    """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) as decimal(38,2)) as sum_qty,
-    cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(38,2)) as sum_base,
-    cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2)))) as decimal(38,4)) as sum_disc,
+    """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(12,2))) as decimal(38,2)) as sum_qty,
+    cast(sum(cast(l_extendedprice as decimal(12,2))) as decimal(38,2)) as sum_base,
+    cast(sum(cast(l_extendedprice as decimal(12,2)) * cast(1 - cast(l_discount as decimal(4,2)) as decimal(4,2))) as decimal(38,4)) as sum_disc,
     round(avg(l_discount), 6) as avg_disc, count(*) as n from {lineitem}
     where l_shipdate <= timestamp_ntz '2001-08-01 00:00:00' group by 1, 2""",
     """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) as decimal(38,2)) as sum_qty,
@@ -260,3 +268,17 @@ shape(
     then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as s from g)
     select user_id, cast(min(ts) as timestamptz) as start, count(*) as n from s group by user_id, s""",
 )
+
+
+@register(
+    "bound_parameters",
+    "select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice between 1000 and 90000",
+)
+def bound_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a user gives are bound, never written into the text."""
+    return selected_orders(spark, sf_dir, "O", 1000.0, 90000.0)
+
+
+def selected_orders(spark: SparkSession, sf_dir: str, status: str, low: float, high: float) -> DataFrame:
+    text = "select o_orderkey, o_totalprice from {orders} where o_orderstatus = :status and o_totalprice between :low and :high"
+    return spark.sql(text, args={"status": status, "low": low, "high": high}, orders=load(spark, sf_dir, "orders"))

@@ -1,6 +1,7 @@
 import pytest
 
 from ledgerlark.catalog_queries import ORACLES, QUERIES
+from ledgerlark.sql_shapes import selected_orders
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,7 @@ def test_query(spark, name):
 def test_approximate_distinct_is_near(spark):
     for r in QUERIES["approximate_distinct"](spark, "/root/testdata/sf0.01").collect():
         assert abs(r.about - r.exact) <= 0.08 * r.exact
+
+
+def test_a_quote_in_a_value_stays_data(spark):
+    assert selected_orders(spark, SF, "O' or '1' = '1", 0.0, 1e9).count() == 0
