@@ -1,15 +1,20 @@
 """Operator 7, document fingerprints as invertible Bloom lookup tables, in DataFrame functions only.
 
-A text is cut into paragraphs: lines, and long lines into pieces of PIECE characters. The set of their XXH64 digests
-goes into a table of three rows of cells; a cell holds how many digests fell into it, their XOR, and the XOR of
-their check values. The fingerprint is the number of digests and these cells. Two fingerprints are subtracted cell
-by cell, so that common digests vanish, and peeled: a cell with a single digest left gives it away, it is taken out of
-its other cells, and so on. What comes out are the digests that only one of the two has, hence the likeness:
-common digests over all digests.
-
-A table that does not peel is retried larger: the digests are divided by hash among groups, as many as the sizes ask
-for in the worst case, each with a table of its own, so the work grows with the text and not with its square; a group
-that fails again gets a table four and then sixteen times as large, under other hashes.
+A text is cut into paragraphs: lines, and long lines into pieces of PIECE characters. The set of their XXH64 digests is
+dealt by hash into groups, the least power of two that leaves LOAD digests or fewer to a group on average, and each group
+goes into a table of three rows of CELLS cells; a cell holds how many digests fell into it, their XOR, and the XOR of
+their check values. The fingerprint is the number of digests and these tables. So it grows with the text, and the work
+does too: dealing is one sort, and a table is of one size however long the text is.
+
+Two fingerprints of one number of groups are subtracted cell by cell, so that common digests vanish, and peeled: a cell
+with a single digest left gives it away, it is taken out of its other cells, and so on. What comes out are the digests
+that only one of the two has, hence the likeness: common digests over all digests. A table has room for two unlike groups
+of LOAD digests, so unlike texts peel as well. If the numbers of groups differ, the smaller fingerprint is peeled by
+itself, which lists its digests, and dealt out anew. All this needs the fingerprints only, and `likeness_of_written()`
+does it for two stored ones.
+
+A group that does not peel is retried larger, from the digests of that group: with a table four and then sixteen times as
+large, under other hashes. The query says of how many groups that was needed.
 
 The next document is found on identifiers alone: they are dealt out by range, each range is looked through by itself,
 and range ends meet in a table of one row for each range. Then a document sends its predecessor only what that needs:
@@ -29,10 +34,14 @@ from ledgerlark.llm.secrets import let
 from ledgerlark.llm.shared import cut, table
 
 PIECE = 200
-CELLS = 8  # in each of the three rows
-GROUP = 8  # digests of both sides in a group of the retry
-ROUNDS = 12
+LOAD = 12
+CELLS = 32  # in each of the three rows
+RETRIES = (4, 16)  # times as many
+ROUNDS = 16
+CHECK_BITS = 32
 UNIT = rf"[^\n]{{1,{PIECE}}}\n*|\n+"
+FIRST = (CELLS, 0)  # cells and seed of the tables of a fingerprint
+EMPTY = "-"  # a cell in which nothing fell, in writing
 
 
 def digests(text: Column) -> Column:
@@ -41,40 +50,34 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
 
 
-def placed(key: Column, cells: int, seed: int) -> Column:
-    """A digest with its check value and its cell in each row."""
-    at = lambda row: (F.pmod(F.xxhash64(key, F.lit(seed + row)), F.lit(cells)) + row * cells).cast("int")
-    return F.struct(
-        key.alias("key"),
-        F.xxhash64(key, F.lit(-1)).alias("check"),
-        at(0).alias("a"),
-        at(1).alias("b"),
-        at(2).alias("c"),
-    )
+def check_of(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(-1)).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
 
 
-def touches(x: Column, cell: Column) -> Column:
-    return (x["a"] == cell) | (x["b"] == cell) | (x["c"] == cell)
+def placed(key: Column, cells: Column, seed: Column) -> Column:
+    """A digest with its check value and its cell in each row."""
+    at = [F.pmod(F.xxhash64(key, seed + row), cells).cast("int").alias(f"at{row}") for row in range(3)]
+    return F.struct(key.alias("key"), check_of(key).alias("check"), *at)
 
 
 def cell(count: Column, key: Column, check: Column) -> Column:
     return F.struct(count.alias("count"), key.alias("key"), check.alias("check"))
 
 
-def sketch(keys: Column, cells: int = CELLS, seed: int = 0) -> Column:
-    """The cells of a set of digests."""
+def sketch(keys: Column, cells: Column, seed: Column) -> Column:
+    """The cells of a set of digests, row by row."""
     zero = F.lit(0).cast("long")
 
     def add(acc: Column, x: Column) -> Column:
         return cell(acc["count"] + 1, acc["key"].bitwiseXOR(x["key"]), acc["check"].bitwiseXOR(x["check"]))
 
-    return let(
-        F.transform(keys, lambda k: placed(k, cells, seed)),
-        lambda xs: F.transform(
-            F.sequence(F.lit(0), F.lit(3 * cells - 1)),
-            lambda i: F.aggregate(F.filter(xs, lambda x: touches(x, i)), cell(F.lit(0), zero, zero), add),
-        ),
-    )
+    def row(xs: Column, r: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), cells - 1),
+            lambda i: F.aggregate(F.filter(xs, lambda x: x[f"at{r}"] == i), cell(F.lit(0), zero, zero), add),
+        )
+
+    return let(F.transform(keys, lambda k: placed(k, cells, seed)), lambda xs: F.concat(*(row(xs, r) for r in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -87,49 +90,51 @@ def subtract(a: Column, b: Column) -> Column:
     )
 
 
-def peel(difference: Column, cells: int, seed: int = 0) -> Column:
+def peel(difference: Column, cells: Column, seed: Column) -> Column:
     """(ok, a_only, b_only): whether all digests came out, and those of either side.
 
     Each round takes out the digests of all cells that hold just one.
     """
     none = F.array().cast("array<long>")
 
-    def take(left: Column, x: Column, i: Column) -> Column:
-        def out(acc: Column, p: Column) -> Column:
-            return cell(
-                acc["count"] - p["sign"], acc["key"].bitwiseXOR(p["key"]), acc["check"].bitwiseXOR(p["check"])
+    def out(acc: Column, p: Column) -> Column:
+        return cell(acc["count"] - p["sign"], acc["key"].bitwiseXOR(p["key"]), acc["check"].bitwiseXOR(p["check"]))
+
+    def without(all_cells: Column, found: Column) -> Column:
+        def row(r: int) -> Column:
+            return F.transform(
+                F.slice(all_cells, cells * r + 1, cells),
+                lambda x, i: F.aggregate(F.filter(found, lambda p: p[f"at{r}"] == i), x, out),
             )
 
-        return F.aggregate(F.filter(left, lambda p: touches(p, i)), x, out)
+        return F.concat(*(row(r) for r in range(3)))
 
     def single(x: Column) -> Column:
-        return (F.abs(x["count"]) == 1) & (F.xxhash64(x["key"], F.lit(-1)) == x["check"])
+        return (F.abs(x["count"]) == 1) & (check_of(x["key"]) == x["check"])
 
-    def step(acc: Column, _: Column) -> Column:
-        def found(keys: Column) -> Column:
-            """keys: the single cells' (key, count), distinct."""
-            with_cells = F.transform(
-                keys, lambda x: placed(x["key"], cells, seed).withField("sign", x["count"])
-            )
-            return let(
-                with_cells,
-                lambda ps: F.struct(
-                    F.transform(acc["cells"], lambda x, i: take(ps, x, i)).alias("cells"),
-                    F.concat(acc["a_only"], F.transform(F.filter(ps, lambda p: p["sign"] > 0), lambda p: p["key"])).alias(
-                        "a_only"
-                    ),
-                    F.concat(acc["b_only"], F.transform(F.filter(ps, lambda p: p["sign"] < 0), lambda p: p["key"])).alias(
-                        "b_only"
-                    ),
-                ),
-            )
+    def signed(ps: Column, sign: int) -> Column:
+        return F.transform(F.filter(ps, lambda p: p["sign"] == sign), lambda p: p["key"])
+
+    def state(all_cells: Column, a_only: Column, b_only: Column, live: Column) -> Column:
+        return F.struct(all_cells.alias("cells"), a_only.alias("a_only"), b_only.alias("b_only"), live.alias("live"))
 
+    def step(acc: Column, _: Column) -> Column:
         singles = F.array_distinct(
             F.transform(
                 F.filter(acc["cells"], single), lambda x: F.struct(x["key"].alias("key"), x["count"].alias("count"))
             )
         )
-        return let(singles, lambda xs: F.when(F.size(xs) == 0, acc).otherwise(found(xs)))
+
+        def taken(ps: Column) -> Column:
+            return state(
+                without(acc["cells"], ps),
+                F.concat(acc["a_only"], signed(ps, 1)),
+                F.concat(acc["b_only"], signed(ps, -1)),
+                F.size(ps) > 0,
+            )
+
+        with_places = F.transform(singles, lambda x: placed(x["key"], cells, seed).withField("sign", x["count"]))
+        return F.when(acc["live"], let(with_places, taken)).otherwise(acc)
 
     def result(acc: Column) -> Column:
         return F.struct(
@@ -138,59 +143,144 @@ def peel(difference: Column, cells: int, seed: int = 0) -> Column:
             acc["b_only"].alias("b_only"),
         )
 
-    start = F.struct(difference.alias("cells"), none.alias("a_only"), none.alias("b_only"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, result)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(difference, none, none, F.lit(True)), step, result)
 
 
 def only(a: Column, b: Column) -> Column:
-    """(a_only, b_only) of two small sets of digests, by tables that grow until one peels."""
+    """(ok, a_only, b_only) of a group's two sets of digests, by tables that grow until one peels."""
 
-    def unless(tried: Column, otherwise: Column) -> Column:
-        return let(tried, lambda t: F.when(t["ok"], t).otherwise(otherwise))
+    def tried(acc: Column, times: Column) -> Column:
+        cells = times * CELLS
+        both = F.transform(F.array(a, b), lambda keys: sketch(keys, cells, times))
+        larger = let(both, lambda x: peel(subtract(F.get(x, F.lit(0)), F.get(x, F.lit(1))), cells, times))
+        return F.when(acc["ok"], acc).otherwise(larger)
 
-    result = F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("a_only"), F.array_except(b, a).alias("b_only"))
+    none = F.array().cast("array<long>")
+    start = F.struct(F.lit(False).alias("ok"), none.alias("a_only"), none.alias("b_only"))
     # Sixteen times the cells leave one case in many millions, in which the sets themselves are compared.
-    for cells, seed in ((16 * CELLS, 300), (4 * CELLS, 200), (CELLS, 100)):
-        tried = peel(subtract(sketch(a, cells, seed), sketch(b, cells, seed)), cells, seed)
-        result = unless(tried, result)
-    nothing = F.array().cast("array<long>")
-    empty = F.struct(F.lit(True).alias("ok"), nothing.alias("a_only"), nothing.alias("b_only"))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), empty).otherwise(result)
-
-
-def retried(a: Column, b: Column) -> Column:
-    """(ok, a_only, b_only) of two sets of digests divided into groups."""
-    groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / GROUP).cast("int"))
-
-    def of_group(n: Column, g: Column) -> Column:
-        own = lambda xs: F.filter(xs, lambda k: F.pmod(F.xxhash64(k, F.lit(77)), n) == g)
-        return let(own(a), lambda x: let(own(b), lambda y: only(x, y)))
-
-    return let(
-        let(groups, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda g: of_group(n, g))),
-        lambda parts: F.struct(
-            F.lit(True).alias("ok"),
-            F.flatten(F.transform(parts, lambda p: p["a_only"])).alias("a_only"),
-            F.flatten(F.transform(parts, lambda p: p["b_only"])).alias("b_only"),
-        ),
-    )
+    sets = F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("a_only"), F.array_except(b, a).alias("b_only"))
+    return F.aggregate(F.array(*map(F.lit, RETRIES)), start, tried, lambda t: F.when(t["ok"], t).otherwise(sets))
+
+
+def groups_for(n: Column) -> Column:
+    """The least power of two that leaves LOAD of n digests or fewer to a group."""
+    return F.when(n <= LOAD, 1).otherwise(F.pow(F.lit(2), F.length(F.bin(F.floor((n - 1) / LOAD)))).cast("int"))
+
+
+def dealt(keys: Column, groups: Column) -> Column:
+    """The digests of each group: all are sorted by group behind a mark for each, and cut at the marks."""
+    entry = lambda g, real, key: F.struct(g.cast("int").alias("g"), F.lit(real).alias("real"), key.alias("key"))
+    marks = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: entry(g, 0, F.lit(0).cast("long")))
+    every = F.transform(keys, lambda k: entry(F.pmod(F.xxhash64(k, F.lit(77)), groups), 1, k))
+
+    def between(xs: Column, starts: Column) -> Column:
+        def of(at: Column, g: Column) -> Column:
+            end = F.coalesce(F.get(starts, g + 1), F.size(xs))
+            return F.transform(F.slice(xs, at + 2, end - at - 1), lambda x: x["key"])
+
+        return F.transform(starts, of)
+
+    def at_marks(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda x, i: F.when(x["real"] == 0, i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: between(xs, s))
 
+    return F.when(groups == 1, F.array(keys)).otherwise(let(F.sort_array(F.concat(marks, every)), at_marks))
 
-def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
-    """Common digests over all digests of two fingerprints; the sets a and b are for retries."""
 
-    def of(d: Column) -> Column:
-        every = F.size(a) + F.size(d["b_only"])
-        return F.when(every == 0, 1.0).otherwise((F.size(a) - F.size(d["a_only"])) / every)
+def tables_of(keys: Column, groups: Column) -> Column:
+    return let(dealt(keys, groups), lambda parts: F.transform(parts, lambda p: sketch(p, *map(F.lit, FIRST))))
 
-    first = peel(subtract(a_cells, b_cells), CELLS)
-    return let(let(first, lambda d: F.when(d["ok"], d).otherwise(retried(a, b))), of)
 
+def fingerprint(keys: Column) -> Column:
+    """(n, tables, keys) of a set of digests."""
+    tables = tables_of(keys, groups_for(F.size(keys)))
+    return F.struct(F.size(keys).alias("n"), tables.alias("tables"), keys.alias("keys"))
 
-def written(keys: Column, cells: Column) -> Column:
-    """A fingerprint as text: the number of digests, then count, XOR and check of each cell in hexadecimal."""
-    part = lambda x: F.concat_ws("", F.lpad(F.hex(x["count"]), 4, "0"), *(F.lpad(F.hex(x[n]), 16, "0") for n in ("key", "check")))
-    return F.lower(F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(cells, part), "")))
+
+def in_groups(side: Column, groups: Column) -> Column:
+    """The tables of side(n, tables, keys) dealt out in so many groups.
+
+    That takes its digests, which its tables list; if one does not, they are keys, and the result is null if these are.
+    """
+
+    def again(parts: Column) -> Column:
+        listed = F.flatten(F.transform(parts, lambda p: p["a_only"]))
+        return tables_of(F.when(F.forall(parts, lambda p: p["ok"]), listed).otherwise(side["keys"]), groups)
+
+    listed = let(F.transform(side["tables"], lambda t: peel(t, *map(F.lit, FIRST))), again)
+    return F.when(F.size(side["tables"]) == groups, side["tables"]).otherwise(listed)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """(near, retried) of two fingerprints (n, tables, keys): common digests over all digests, and groups to be retried.
+
+    keys, the sets of digests, are for those groups only; where they are null, near is null if there are such groups.
+    """
+
+    def of(groups: Column) -> Column:
+        tables = F.transform(F.array(a, b), lambda side: in_groups(side, groups))
+        differences = lambda x: F.zip_with(F.get(x, F.lit(0)), F.get(x, F.lit(1)), subtract)
+        parts = let(tables, lambda x: F.transform(differences(x), lambda d: peel(d, *map(F.lit, FIRST))))
+        return let(parts, lambda ps: told(ps, groups))
+
+    def told(parts: Column, groups: Column) -> Column:
+        failed = F.size(F.filter(parts, lambda p: ~p["ok"]))
+        done = F.when(failed == 0, parts).otherwise(retried(parts, groups))
+        return F.struct(let(done, near).alias("near"), failed.cast("long").alias("retried"))
+
+    def retried(parts: Column, groups: Column) -> Column:
+        own = F.transform(F.array(a, b), lambda side: dealt(side["keys"], groups))
+        group = lambda x, side, g: F.get(F.get(x, F.lit(side)), g)
+        return let(
+            own,
+            lambda x: F.transform(
+                parts, lambda p, g: F.when(p["ok"], p).otherwise(only(group(x, 0, g), group(x, 1, g)))
+            ),
+        )
+
+    def near(parts: Column) -> Column:
+        apart = F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.size(p["a_only"]) + F.size(p["b_only"]))
+        every = a["n"] + b["n"]
+        common = (every - apart) / 2
+        known = F.when(every == 0, 1.0).otherwise(common / (every - common))
+        return F.when(F.forall(parts, lambda p: p["ok"]), known)
+
+    return let(F.greatest(F.size(a["tables"]), F.size(b["tables"])), of)
+
+
+def written(print_: Column) -> Column:
+    """A fingerprint as text: the number of digests, then of each table count, XOR and check of the cells in hexadecimal."""
+
+    def part(x: Column) -> Column:
+        shown = F.concat(F.lpad(F.hex(x["count"]), 4, "0"), F.lpad(F.hex(x["key"]), 16, "0"), F.lpad(F.hex(x["check"]), 8, "0"))
+        return F.when(x["count"] == 0, EMPTY).otherwise(shown)
+
+    tables = F.transform(print_["tables"], lambda t: F.array_join(F.transform(t, part), ""))
+    return F.lower(F.concat(print_["n"].cast("string"), F.lit(":"), F.array_join(tables, "/")))
+
+
+def read_back(text: Column) -> Column:
+    """The fingerprint that was written so."""
+    number = lambda x, at, n: F.conv(F.substring(x, at, n), 16, -10).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def part(x: Column) -> Column:
+        full = cell(number(x, 1, 4).cast("int"), number(x, 5, 16), number(x, 21, 8))
+        return F.when(x == EMPTY, cell(F.lit(0), zero, zero)).otherwise(full)
+
+    tables = F.transform(
+        F.split(F.substring_index(text, ":", -1), "/"),
+        lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"{EMPTY}|[0-9a-f]{{28}}"), F.lit(0)), part),
+    )
+    n = F.substring_index(text, ":", 1).cast("int")
+    keys = F.lit(None).cast("array<long>")
+    return F.struct(n.alias("n"), tables.alias("tables"), keys.alias("keys"))
+
+
+def likeness_of_written(a: Column, b: Column) -> Column:
+    """The likeness of two written fingerprints, from nothing else; null if their tables do not peel."""
+    both = F.transform(F.array(a, b), read_back)
+    return let(both, lambda x: likeness(F.get(x, F.lit(0)), F.get(x, F.lit(1))))["near"]
 
 
 def predecessors(ids: DataFrame) -> DataFrame:
@@ -212,7 +302,7 @@ def predecessors(ids: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every row of docs(doc_id, text)."""
+    """The contract's columns for every row of docs(doc_id, text), and how many groups had to be retried."""
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
     ids = whole.select("doc_id", "key", F.length("text").alias("n")).distinct()
@@ -236,20 +326,22 @@ def compare(docs: DataFrame) -> DataFrame:
         digests(edited).alias("other"),
         "next_keys",
     )
-    cells = with_keys.select(
-        "*",
-        sketch(F.col("own")).alias("own_cells"),
-        sketch(F.col("other")).alias("other_cells"),
-        sketch(F.col("next_keys")).alias("next_cells"),
-    )
-    return cells.select(
+    prints = with_keys.select("*", F.transform(F.array("own", "other", "next_keys"), fingerprint).alias("prints"))
+    own = F.get("prints", F.lit(0))
+    likenesses = F.transform(F.slice("prints", 2, 2), lambda x: likeness(own, x))
+    shown = F.transform(F.slice("prints", 1, 2), written)
+    near = prints.select("*", likenesses.alias("near"), shown.alias("shown"))
+    at = lambda name, i: F.get(name, F.lit(i))
+    return near.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written(F.col("own"), F.col("own_cells")).alias("fingerprint"),
-        written(F.col("other"), F.col("other_cells")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other"), F.col("own_cells"), F.col("other_cells")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_keys"), F.col("own_cells"), F.col("next_cells")).alias("near_next"),
+        at("shown", 0).alias("fingerprint"),
+        at("shown", 1).alias("edited_fingerprint"),
+        at("near", 0)["near"].alias("near_edited"),
+        at("near", 1)["near"].alias("near_next"),
+        at("near", 0)["retried"].alias("retried_edited"),
+        at("near", 1)["retried"].alias("retried_next"),
     )
 
 

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from ledgerlark.llm import ibf
 
@@ -31,6 +35,45 @@ def got(df):
 def test_whole_table(spark, sf, docs_rows):
     df = ibf.op7_fingerprints(spark, sf)
     assert got(df) == brute([(r["doc_id"], r["text"]) for r in docs_rows])
+    rows = df.select("retried_edited", "retried_next").collect()
+    for side in ("retried_edited", "retried_next"):
+        assert sum(r[side] == 0 for r in rows) >= 0.9 * len(rows)
+
+
+def test_likeness_needs_the_written_fingerprints_only(spark, sf):
+    df = ibf.op7_fingerprints(spark, sf).select(
+        "near_edited", "retried_edited", ibf.likeness_of_written(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near")
+    )
+    for r in df.collect():
+        assert r.near == (r.near_edited if r.retried_edited == 0 else None) or (r.near is None and r.retried_edited > 0)
+    few, many = "\n".join(map(str, range(9))), "\n".join(map(str, range(5, 600)))
+    keys = [ibf.digests(F.lit(t)) for t in (few, many)]
+    a, b = (ibf.written(ibf.fingerprint(k)) for k in keys)
+    got_near = spark.range(1).select(ibf.likeness_of_written(a, b).alias("near")).first().near
+    assert got_near in (None, jaccard(sets(few), sets(many)))
+
+
+def test_groups_that_fail_are_retried(spark, monkeypatch):
+    monkeypatch.setattr(ibf, "LOAD", 1000)
+    rng = random.Random(3)
+    texts = ["\n".join(str(rng.randint(0, 500)) for _ in range(n)) for n in (0, 5, 24, 60, 80, 150, 90, 200, 300)]
+    rows = list(enumerate(texts))
+    df = ibf.compare(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    assert got(df) == brute(rows)
+    assert df.where("retried_next > 0").count() > 3
+
+
+def test_work_grows_with_the_text(spark):
+    def seconds(lines):
+        rows = [(i, "\n".join(f"{i} {j}" for j in range(lines))) for i in range(2)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        begun = time.perf_counter()
+        assert got(ibf.compare(df)) == brute(rows)
+        return time.perf_counter() - begun
+
+    seconds(500)
+    small, large = seconds(2_000), seconds(16_000)
+    assert large < 20 * small  # eight times the lines; the square would be 64
 
 
 def test_edges(spark):
