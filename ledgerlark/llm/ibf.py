@@ -277,10 +277,10 @@ def read_back(text: Column) -> Column:
     return F.struct(n.alias("n"), tables.alias("tables"), keys.alias("keys"))
 
 
-def likeness_of_written(a: Column, b: Column) -> Column:
-    """The likeness of two written fingerprints, from nothing else; null if their tables do not peel."""
-    both = F.transform(F.array(a, b), read_back)
-    return let(both, lambda x: likeness(F.get(x, F.lit(0)), F.get(x, F.lit(1))))["near"]
+def likeness_of_written(prints: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, near): the likeness of the written fingerprints in two columns, from nothing else; null where a table does not peel."""
+    read = prints.select(a, b, F.transform(F.array(a, b), read_back).alias("read"))
+    return read.select(a, b, likeness(F.get("read", F.lit(0)), F.get("read", F.lit(1)))["near"].alias("near"))
 
 
 def predecessors(ids: DataFrame) -> DataFrame:
