@@ -36,6 +36,9 @@ HOST_RULES = (
 DEFAULT_GLOBS = ("*.spam*.*|*", "*spam-farm*|*", "*.ads.*|*", "*.tracker?.*|*", "*|*/wp-login*", "*|*.exe")
 
 SEPARATOR = "\x00"
+#: Bytes of text, and 64-bit words of state, in a block of URLs that is run at once.
+BLOCK_BYTES = 8_000_000
+BLOCK_WORDS = 2_000_000
 
 
 class Automaton:
@@ -75,11 +78,11 @@ class Automaton:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
         out = np.zeros((len(texts), len(self.globs)), bool)
-        # Rows of like length share a block, so a long text pads no other.
+        # Rows of like length share a block, so a long text pads no other; with many rules a block has fewer rows.
         at = 0
         while at < len(order):
             longest = int(lengths[order[at]])
-            rows = max(1, min(len(order) - at, 8_000_000 // max(1, longest)))
+            rows = max(1, min(len(order) - at, BLOCK_BYTES // max(1, longest), BLOCK_WORDS // max(1, self.words)))
             part = order[at : at + rows]
             out[part] = self._block([texts[i] for i in part], lengths[part])
             at += rows

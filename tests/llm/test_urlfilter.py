@@ -17,6 +17,17 @@ def test_automaton_against_regex():
         assert [bool(pattern.match(t)) for t in texts] == hit[:, j].tolist(), g
 
 
+def test_blocks_are_sized_by_states(monkeypatch):
+    globs = [f"*{i}*x" for i in range(300)]
+    texts = [f"{i}x".encode() for i in range(400)]
+    whole = Automaton(globs).run(texts)
+    sizes, block = [], Automaton._block
+    monkeypatch.setattr(Automaton, "_block", lambda self, part, lengths: (sizes.append(len(part)), block(self, part, lengths))[1])
+    monkeypatch.setattr(urlfilter, "BLOCK_WORDS", 1000)
+    assert (Automaton(globs).run(texts) == whole).all()
+    assert max(sizes) * Automaton(globs).words <= 1000 and sum(sizes) == len(texts)
+
+
 def test_oracle(spark, sf, sql_rows):
     key = lambda r: r["page_id"]
     got = sorted((r.asDict() for r in urlfilter.op8_url_filter(spark, sf).collect()), key=key)
