@@ -46,10 +46,10 @@ def test_likeness_needs_the_written_fingerprints_only(spark):
     rows = [(few, like), (few, many), (many, few), ("", ""), ("", few), (many, many)]
     df = spark.createDataFrame(rows, "a string, b string")
     df = df.select(*(ibf.written(ibf.fingerprint(ibf.digests(F.col(c)))).alias(c) for c in "ab"))
-    near = [r.near for r in ibf.likeness_of_written(df.repartition(1), "a", "b").collect()]
-    expected = [jaccard(sets(x), sets(y)) for x, y in rows]
-    assert sorted(near, key=str) == sorted(expected, key=str) or sum(n is None for n in near) == 1
-    assert all(n is None or n in expected for n in near)
+    near = [r.near for r in ibf.likeness_of_written(df, "a", "b").collect()]
+    # Null, if a table does not peel, is allowed once; whatever is told is right.
+    assert all(n in (None, jaccard(sets(x), sets(y))) for n, (x, y) in zip(near, rows, strict=True))
+    assert near.count(None) <= 1
 
 
 def test_groups_that_fail_are_retried(spark, monkeypatch):
