@@ -70,6 +70,7 @@ def test_work_grows_with_the_text(spark):
         assert got(ibf.compare(df)) == brute(rows)
         return time.perf_counter() - begun
 
+    seconds(500)
     small, large = seconds(2_000), seconds(16_000)
     assert large < 20 * small  # eight times the lines; the square would be 64
 
