@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import ibf, langid, linededup, media, mixing, mixlm, packing, secrets, simhash, survival, urlfilter
+from ledgerlark.llm import divergence, ibf, langid, linededup, media, mixing, mixlm, packing, secrets, simhash, survival, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_language": langid.op9_language,
     "op10_context_mixing": mixlm.op10_context_mixing,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op13_filter_audit": survival.op13_filter_audit,
 }
 
 ORACLES = {
     "op3_line_dedup": linededup.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op13_filter_audit": survival.ORACLE,
 }
