@@ -38,8 +38,9 @@ BLOCK_TERMS = 2048
 ROWS = 4096
 SOURCES = 256
 COLUMNS = 4096
-#: Counted rows that a task keeps before it folds them.
-FOLD_ROWS = 4_000_000
+#: Bytes of text that a task looks at together, and counted rows that it keeps before it folds them.
+PIECE_BYTES = 6_000_000
+FOLD_ROWS = 1_500_000
 
 
 def _bytes_of_terms() -> np.ndarray:
@@ -55,9 +56,9 @@ BYTES = _bytes_of_terms()
 def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All terms of the texts, one after another, and the row of each."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    data = texts.buffers()[2]
-    mapped = pa.py_buffer(BYTES[np.frombuffer(data, np.uint8)]) if data is not None and data.size else pa.py_buffer(b"")
-    plain = pa.LargeStringArray.from_buffers(len(texts), texts.buffers()[1], mapped, None, 0, texts.offset)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    plain = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(BYTES[data]))
     parts = pc.ascii_split_whitespace(plain)
     terms, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
     real = pc.not_equal(terms, "")
@@ -98,6 +99,17 @@ def count_batch(batch: pa.RecordBatch) -> pa.Table:
     )
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def counted_terms(docs: DataFrame) -> DataFrame:
     """(lang, term, docs, by): for each language and term its documents and a list of (source, n); '' lists all sources."""
 
@@ -111,14 +123,14 @@ def counted_terms(docs: DataFrame) -> DataFrame:
             return sums.aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(COUNTED.names).cast(COUNTED)
 
         for batch in batches:
-            if batch.num_rows:
-                kept.append(count_batch(batch))
-            if sum(map(len, kept)) > FOLD_ROWS:
-                kept = [folded()]
-                if len(kept[0]) > FOLD_ROWS // 2:
-                    yield from kept.pop().to_batches()
+            for piece in pieces(batch):
+                kept.append(count_batch(piece))
+                if sum(map(len, kept)) > FOLD_ROWS:
+                    kept[:] = [folded()]
+                    if len(kept[0]) > FOLD_ROWS // 2:
+                        yield from kept.pop().to_batches(max_chunksize=100_000)
         if kept:
-            yield from folded().to_batches()
+            yield from folded().to_batches(max_chunksize=100_000)
 
     plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
     found = plain.mapInArrow(count, "lang string, source string, term string, n long, docs long")

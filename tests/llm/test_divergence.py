@@ -91,6 +91,13 @@ def test_terms_of_sliced_batches():
     assert terms.to_pylist() == ["ab", "cd", "é", "z"] and row.tolist() == [0, 0, 0, 3]
 
 
+def test_pieces_have_all_rows():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 30, "", "c" * 4, "d"]})
+    parts = list(divergence.pieces(batch, 9))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and sum((p["text"].to_pylist() for p in parts), []) == batch["text"].to_pylist()
+    assert list(divergence.pieces(batch.slice(0, 0))) == []
+
+
 def test_oracle(spark):
     sf = "/root/testdata/sf0.001"
     assert compare(divergence.op11_source_divergence(spark, sf), divergence.ORACLE, sf) is None
