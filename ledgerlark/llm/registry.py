@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import divergence, ibf, langid, linededup, media, mixing, mixlm, packing, secrets, simhash, survival, urlfilter
+from ledgerlark.llm import divergence, ibf, langid, linededup, media, mixing, mixlm, packing, secrets, simhash, survival, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": langid.op9_language,
     "op10_context_mixing": mixlm.op10_context_mixing,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_filter_audit": survival.op13_filter_audit,
 }
 
