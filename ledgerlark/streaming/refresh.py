@@ -1,11 +1,13 @@
-"""Streams over the sources' change feeds: windows, sessions, deduplication, joins, upserts and state of one's own."""
+"""Streams over the sources' change feeds: windows, sessions, deduplication, joins and state of one's own.
+
+serving.py has the tables that streams keep current."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -47,23 +49,6 @@ def joined_streams(a: DataFrame, b: DataFrame, within: str) -> DataFrame:
     return left.join(right, near).select("a", "b")
 
 
-def upsert(table: str, keys: list[str], order: Column) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the latest row of each key, kept in a table whose new version replaces the old one."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select("*", F.lit(number).alias("_batch"))
-        old = spark.read.table(table) if spark.catalog.tableExists(table) else new.limit(0)
-        both = old.unionByName(new)
-        last = Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), order)
-        kept = both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        # A batch that is run again gives the same table; the old version is read before it goes.
-        kept.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.read.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
-
-    return write
-
-
 class Running(StatefulProcessor):
     """Keeps each user's number of events and latest value; one row out for each user and batch."""
 

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.registering import registry
 from ledgerlark.sources.catalog import load
-from ledgerlark.streaming import refresh
+from ledgerlark.storage import fresh_path
+from ledgerlark.streaming import refresh, serving
 
 QUERIES, ORACLES, register = registry()
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def _emitted(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -112,10 +109,32 @@ def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("latest", "n").alias("latest"))
 
 
-@register("approximate_distinct")
-def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL to compare with: sketches differ between engines. A test holds it against the exact number."""
-    orders = load(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderstatus").agg(
-        F.approx_count_distinct("o_custkey", 0.02).alias("about"), F.count_distinct("o_custkey").alias("exact")
-    )
+def _served(spark: SparkSession, df: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """What a serving table holds after the stream's last batch."""
+    folder = _folder(spark)
+    table = serving.ServingTable(spark, f"{folder}/table", df.schema, keys, 8)
+    sink = serving.replaces(table) if mode == "complete" else serving.upserts(table)
+    refresh.drain(df, f"{folder}/checkpoint", mode=mode, sink=sink)
+    return table.read()
+
+
+@register(
+    "stream_tumbling_update",
+    """select cast(date_trunc('day', ts) as timestamptz) as start, event_type, count(*) as n, round(sum(value), 4) as total
+    from events group by 1, 2""",
+)
+def tumbling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, the open ones too: each batch gives those that changed, and the table keeps the last of each."""
+    windows = refresh.windowed(_events(spark, sf_dir), "1 day")
+    return _served(spark, windows, ["start", "event_type"], "update").withColumn("total", F.round("total", 4))
+
+
+@register(
+    "stream_running_complete",
+    "select event_type, count(*) as n, round(sum(value), 4) as total, max(event_id) as latest from events group by 1",
+)
+def running_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running aggregate: each batch gives all groups, which take the place of the whole table."""
+    groups = _events(spark, sf_dir).groupBy("event_type")
+    sums = groups.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("event_id").alias("latest"))
+    return _served(spark, sums, ["event_type"], "complete").withColumn("total", F.round("total", 4))

@@ -10,7 +10,7 @@ from ledgerlark.operators import joins
 from ledgerlark.plans.compile import check, compile_spec
 from ledgerlark.plans.spec import CATALOG, Catalog, ClarifyNeeded, Filter, QuerySpec, Refused
 from ledgerlark.sources import connectors
-from ledgerlark.streaming import refresh
+from ledgerlark.streaming import refresh, serving
 
 SF = "/root/testdata/sf0.001"
 
@@ -143,13 +143,9 @@ def test_streams_late_rows_restart_and_upsert(spark, tmp_path):
     assert sorted((r.start.day, r.n) for r in out("day").collect()) == [(1, 3), (3, 2)]
     assert sorted(r.event_id for r in out("dedup").collect()) == [1, 2, 3, 4, 10]
 
-    spark.sql("drop table if exists latest_event")
-    spark.sql("drop table if exists latest_event_next")
-    sink = refresh.upsert("latest_event", ["user_id"], F.col("ts").desc())
-    refresh.drain(events(), f"{tmp_path}/c-up", sink=sink)
-    assert {r.user_id: r.event_id for r in spark.read.table("latest_event").collect()} == {1: 9, 2: 10}
-    spark.sql("drop table latest_event")
-    spark.sql("drop table latest_event_next")
+    latest = serving.ServingTable(spark, f"{tmp_path}/latest", events().schema, ["user_id"])
+    refresh.drain(events(), f"{tmp_path}/c-up", sink=serving.upserts(latest, [F.col("ts").desc()]))
+    assert {r.user_id: r.event_id for r in latest.read().collect()} == {1: 9, 2: 10}
 
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
