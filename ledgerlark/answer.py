@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.plans.compile import compile_spec, one_metric, paths
+from ledgerlark.plans.compile import Observed, compile_spec, observed_metric, paths
 from ledgerlark.plans.spec import CATALOG, Catalog, QuerySpec
 from ledgerlark.sources.catalog import SOURCES, freshness, load
 
@@ -73,18 +73,40 @@ def not_multiplied(spark: SparkSession, sf_dir: str, spec: QuerySpec, metric: st
     return Check("joins keep the grain", not wrong, ", ".join(wrong) or "all keys unique")
 
 
+def checks_of(seen: Observed) -> list[Check]:
+    """What a metric's own job saw: nothing was read again."""
+    m, read, joined, kept, told = seen.metric, seen.read.get, seen.joined.get, seen.kept.get, seen.told.get
+    found = [Check("joins keep the grain", read["rows"] == joined["rows"], f"{m}: {read['rows']} rows, {joined['rows']} after joins")]
+    lost = {k: n for k, n in joined.items() if k != "rows" and n}
+    found.append(Check("keys have partners", not lost, f"{m}: " + (", ".join(f"{n} rows: no {k}" for k, n in lost.items()) or "none without")))
+    if "total" in kept:
+        total, parts = kept["total"] or 0, told["parts"] or 0
+        found.append(Check("parts add up to the total", parts == total, f"{m}: parts {parts}, total {total}"))
+    nulls = {k: n for k, n in told.items() if k.startswith("null ") and n}
+    found.append(Check("no nulls", not nulls, f"{m}: " + (", ".join(f"{n} rows: {k}" for k, n in nulls.items()) or f"{told['rows']} rows")))
+    return found
+
+
 def answer(spark: SparkSession, sf_dir: str, spec: QuerySpec, catalog: Catalog = CATALOG) -> Answer:
-    """Runs a spec, and the checks that fit it as jobs of their own."""
-    rows = compile_spec(spark, sf_dir, spec, catalog)
-    checks = [not_multiplied(spark, sf_dir, spec, m, catalog) for m in spec.metrics]
-    if spec.by and spec.limit is None:
-        for m in spec.metrics:
-            if "distinct" not in catalog.metrics[m].formula:  # distinct counts do not add up
-                total = one_metric(spark, sf_dir, QuerySpec((m,), (), spec.where), m, catalog)
-                checks.append(parts_and_total(rows, total, m))
+    """Runs a spec once: its rows are kept, and what its job observed on the way are the checks.
+
+    The kept rows can be let go by answer.rows.unpersist(). Counts are of the tasks that gave the result; a stage that is
+    run again after an executor was lost may count its rows twice, which shows as a failed check, never as one that holds.
+    """
+    seen: list[Observed] = []
+
+    def one(*args: object) -> DataFrame:
+        rows, observed = observed_metric(*args)
+        seen.append(observed)
+        return rows
+
+    rows = compile_spec(spark, sf_dir, spec, catalog, one)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString() if hasattr(rows, "_jdf") else ""
+    rows = rows.persist()
+    rows.count()  # the one job
+    checks = [c for observed in seen for c in checks_of(observed)]
     used = tables_of(spec, catalog)
     fresh: list[Row] = freshness(spark, sf_dir).collect()  # one row for each source
     as_of = tuple((r.source, str(r.as_of)) for r in fresh if set(SOURCES[r.source].tables) & set(used))
-    plan = rows._jdf.queryExecution().optimizedPlan().toString() if hasattr(rows, "_jdf") else ""
     filters = tuple(f"{f.dimension} {f.op} {f.value}" for f in spec.where)
     return Answer(spec, rows, tuple(checks), Provenance(used, filters, as_of, plan))

@@ -50,7 +50,7 @@ def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("explain_question", Explain)
     spark.sql(
         "create or replace temporary function net_price(price double, discount double) returns decimal(38,4) "
-        "return cast(price as decimal(18,2)) * (1 - cast(discount as decimal(18,2)))"
+        "return cast(price as decimal(12,2)) * cast(1 - cast(discount as decimal(4,2)) as decimal(4,2))"
     )
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import vectors
+from ledgerlark.nl import ask
 from ledgerlark.nl.ask import Conversation
+from ledgerlark.nl.values import candidates, index_of
 from ledgerlark.operators import joins
 from ledgerlark.plans.compile import compare_sources, compile_spec, metric
 from ledgerlark.plans.spec import Filter
@@ -16,6 +18,7 @@ from ledgerlark.sources.catalog import freshness, load
 QUERIES, ORACLES, register = registry()
 
 _ORDERS = "orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+_LINES = "sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2))))"
 _MONEY = "cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,4))"
 
 
@@ -53,7 +56,6 @@ def metric_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric(spark, sf_dir, "customer_count", ("segment",), share=True)
 
 
-_LINES = "sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2))))"
 
 
 @register(
@@ -83,6 +85,54 @@ def ask_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_spec(spark, sf_dir, spec)
 
 
+@register(
+    "ask_sql",
+    f"""with a as (select r_name as region, {_MONEY} as order_revenue from {_ORDERS} where o_orderdate >= date '1997-01-01'
+      and o_orderdate < date '1998-01-01' group by 1), b as (select r_name as region, count(*) as order_count from {_ORDERS} group by 1)
+    select a.region, order_revenue, order_count from a join b on a.region = b.region where order_count > 10""",
+)
+def ask_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as tables of a SQL text, joined with each other."""
+    text = """select a.region, a.order_revenue, b.order_count from ask('revenue by region in 1997') a
+    join ask('number of orders by region') b on a.region = b.region where b.order_count > :least"""
+    return ask.ask_sql(spark, sf_dir, text, least=10)
+
+
+@register("ask_function", f"select r_name as region, {_MONEY} as order_revenue from {_ORDERS} where r_name like 'A%' group by 1")
+def ask_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question as a table function of the session."""
+    ask.define(spark, sf_dir, "revenue_by_region", "revenue by region")
+    return spark.sql("select * from revenue_by_region() where region like 'A%'")
+
+
+@register(
+    "ask_verified",
+    f"""select n_name as nation, cast({_LINES} as decimal(38,4)) as line_revenue from lineitem
+    join {_ORDERS.replace('orders join', 'orders on l_orderkey = o_orderkey join', 1)} where r_name = 'ASIA' group by 1""",
+)
+def ask_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a whole answer; raises if one of its checks fails."""
+    got = ask.ask(spark, sf_dir, "invoiced by nation in asia")
+    if any(not c.passed for c in got.checks):
+        raise ValueError(got.verified)
+    return got.rows
+
+
+@register(
+    "misspelt_values",
+    """with v as (select 'customer' as dimension, c_name as value from customer union select 'supplier', s_name from supplier
+      union select 'nation', n_name from nation union select 'brand', p_brand from part union select 'part', p_name from part),
+    w as (select distinct substr(s_name, 1, 2) || substr(s_name, 4) as word from supplier union select distinct p_name || 'x' from part)
+    select word, dimension, value, cast(levenshtein(lower(word), lower(value)) as bigint) as distance from w, v
+    where levenshtein(lower(word), lower(value)) <= 1""",
+)
+def misspelt_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values that are at most a letter away from misspelt names of suppliers and parts."""
+    suppliers = load(spark, sf_dir, "supplier").select(F.concat(F.substring("s_name", 1, 2), F.expr("substring(s_name, 4)")).alias("word"))
+    parts = load(spark, sf_dir, "part").select(F.concat("p_name", F.lit("x")).alias("word"))
+    return candidates(index_of(spark, sf_dir), suppliers.union(parts).distinct())
+
+
 @register(
     "collate_sources_by_day",
     f"""with s as (select cast(date_trunc('month', o_orderdate) as date) as month, {_MONEY} as v from orders group by 1),

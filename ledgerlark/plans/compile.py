@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.joins import collate
-from ledgerlark.plans.spec import CATALOG, Catalog, ClarifyNeeded, Filter, QuerySpec, Refused
+from ledgerlark.plans.spec import CATALOG, Catalog, ClarifyNeeded, Filter, Metric, QuerySpec, Refused
 from ledgerlark.sources.catalog import load
 
 OPERATORS = ("=", "!=", "in", ">=", "<")
@@ -75,34 +79,91 @@ def _condition(column: Column, f: Filter, kind: str) -> Column:
     }[f.op]()
 
 
-def one_metric(spark: SparkSession, sf_dir: str, spec: QuerySpec, metric: str, catalog: Catalog = CATALOG) -> DataFrame:
-    """The metric by the spec's dimensions; only tables on the way are read, and rows are filtered before they join."""
-    m = catalog.metrics[metric]
-    needed = [catalog.dimensions[x] for x in (*spec.by, *(f.dimension for f in spec.where))]
+def steps_of(catalog: Catalog, spec: QuerySpec, metric: str) -> list[tuple[str, str]]:
+    """The joins that a metric's dimensions and filters need, each once, in order."""
     steps: list[tuple[str, str]] = []
-    for d in needed:
-        for step in paths(catalog, m.table, d.table)[0] if d.table else []:
+    for name in (*spec.by, *(f.dimension for f in spec.where)):
+        d = catalog.dimensions[name]
+        for step in paths(catalog, catalog.metrics[metric].table, d.table)[0] if d.table else []:
             if step not in steps:
                 steps.append(step)
-    out = load(spark, sf_dir, m.table)
-    for step in steps:
+    return steps
+
+
+def one_metric(spark: SparkSession, sf_dir: str, spec: QuerySpec, metric: str, catalog: Catalog = CATALOG) -> DataFrame:
+    """The metric by the spec's dimensions; only tables on the way are read, and rows are filtered before they join."""
+    out = load(spark, sf_dir, catalog.metrics[metric].table)
+    for step in steps_of(catalog, spec, metric):
         a, b = catalog.joins[step]
         out = out.join(load(spark, sf_dir, step[1]), F.col(a) == F.col(b), "left")
     for f in spec.where:
         out = out.where(_condition(_column(catalog, metric, f.dimension), f, catalog.dimensions[f.dimension].kind))
-    kind = "decimal(38,4)" if m.kind == "money" else "bigint"
-    value = F.expr(m.formula).cast(kind).alias(metric)
+    return _grouped(out, spec, metric, catalog)
+
+
+def _value(m: Metric) -> Column:
+    return F.expr(m.formula).cast("decimal(38,4)" if m.kind == "money" else "bigint")
+
+
+def _grouped(out: DataFrame, spec: QuerySpec, metric: str, catalog: Catalog) -> DataFrame:
+    value = _value(catalog.metrics[metric]).alias(metric)
     if not spec.by:
         return out.agg(value)
     return out.groupBy(*(_column(catalog, metric, x).alias(x) for x in spec.by)).agg(value)
 
 
-def compile_spec(spark: SparkSession, sf_dir: str, spec: QuerySpec, catalog: Catalog = CATALOG) -> DataFrame:
-    """The spec's DataFrame. Metrics are aggregated by themselves first, so no join can count a row twice."""
+@dataclass
+class Observed:
+    """What a metric's own job counted on its way: rows of its table, after joins, after filters, and of the result."""
+
+    metric: str
+    read: Observation
+    joined: Observation
+    kept: Observation
+    told: Observation
+
+
+def observed_metric(
+    spark: SparkSession, sf_dir: str, spec: QuerySpec, metric: str, catalog: Catalog = CATALOG
+) -> tuple[DataFrame, Observed]:
+    """one_metric() with observations on the way, for an answer that is verified by the job that makes it.
+
+    Filters on the metric's own table come before the joins; others are checked after the joins were counted, so that a
+    join that multiplies rows shows however few of them are asked for.
+    """
+    m = catalog.metrics[metric]
+    seen = Observed(metric, *(Observation(f"{metric}_{x}_{uuid.uuid4().hex}") for x in ("read", "joined", "kept", "told")))
+    is_own = lambda f: catalog.dimensions[f.dimension].table in ("", m.table)
+    condition = lambda f: _condition(_column(catalog, metric, f.dimension), f, catalog.dimensions[f.dimension].kind)
+    out = load(spark, sf_dir, m.table)
+    for f in filter(is_own, spec.where):
+        out = out.where(condition(f))
+    out = out.observe(seen.read, F.count("*").alias("rows"))
+    missing = []
+    for step in steps_of(catalog, spec, metric):
+        a, b = catalog.joins[step]
+        out = out.join(load(spark, sf_dir, step[1]), F.col(a) == F.col(b), "left")
+        missing.append(F.count_if(F.col(a).isNotNull() & F.col(b).isNull()).alias(f"{a} in {step[1]}"))
+    out = out.observe(seen.joined, F.count("*").alias("rows"), *missing)
+    for f in spec.where:
+        if not is_own(f):
+            out = out.where(condition(f))
+    value = _value(m)
+    totals = [] if "distinct" in m.formula else [value.alias("total")]  # distinct counts do not add up
+    out = out.observe(seen.kept, F.count("*").alias("rows"), *totals)
+    rows = _grouped(out, spec, metric, catalog)
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in rows.columns]
+    return rows.observe(seen.told, F.count("*").alias("rows"), F.sum(metric).alias("parts"), *nulls), seen
+
+
+def compile_spec(
+    spark: SparkSession, sf_dir: str, spec: QuerySpec, catalog: Catalog = CATALOG, one: Callable[..., DataFrame] = one_metric
+) -> DataFrame:
+    """The spec's DataFrame. Metrics are aggregated by themselves first, by one(), so no join can count a row twice."""
     problem = check(spec, catalog)
     if problem:
         raise ValueError(problem)
-    parts = [one_metric(spark, sf_dir, spec, m, catalog) for m in spec.metrics]
+    parts = [one(spark, sf_dir, spec, m, catalog) for m in spec.metrics]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(spec.by), "full") if spec.by else out.crossJoin(p)  # one row each

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,22 @@ class ClarifyNeeded:
     options: tuple[str, ...]
 
 
+def told_as_json(told: QuerySpec | Refused | ClarifyNeeded) -> str:
+    return json.dumps({"kind": type(told).__name__} | asdict(told), sort_keys=True)
+
+
+def from_json(text: str) -> QuerySpec | Refused | ClarifyNeeded:
+    """What told_as_json() wrote; lists become tuples again."""
+    data = json.loads(text)
+    kind = data.pop("kind")
+    if kind == "Refused":
+        return Refused(**data)
+    if kind == "ClarifyNeeded":
+        return ClarifyNeeded(data["question"], tuple(data["options"]))
+    where = tuple(Filter(f["dimension"], f["op"], tuple(f["value"]) if isinstance(f["value"], list) else f["value"]) for f in data["where"])
+    return QuerySpec(**data | {"metrics": tuple(data["metrics"]), "by": tuple(data["by"]), "where": where})
+
+
 @dataclass(frozen=True)
 class Catalog:
     metrics: dict[str, Metric]
@@ -88,7 +105,7 @@ CATALOG = Catalog(
                 "order_revenue",
                 "sales",
                 "orders",
-                "sum(cast(o_totalprice as decimal(18,2)))",
+                "sum(cast(o_totalprice as decimal(12,2)))",
                 "money",
                 "o_orderdate",
                 ("revenue", "sales", "order value", "turnover"),
@@ -98,7 +115,8 @@ CATALOG = Catalog(
                 "line_revenue",
                 "erp",
                 "lineitem",
-                "sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2))))",
+                # Short decimals: products of 18 digits are computed as longs.
+                "sum(cast(l_extendedprice as decimal(12,2)) * cast(1 - cast(l_discount as decimal(4,2)) as decimal(4,2)))",
                 "money",
                 "l_shipdate",
                 ("invoiced", "invoice value", "shipped value"),
@@ -107,7 +125,7 @@ CATALOG = Catalog(
                 "quantity",
                 "erp",
                 "lineitem",
-                "sum(cast(l_quantity as decimal(18,2)))",
+                "sum(cast(l_quantity as decimal(12,2)))",
                 "money",
                 "l_shipdate",
                 ("units", "quantity shipped"),
@@ -141,6 +159,7 @@ CATALOG = Catalog(
                 values=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
             ),
             Dimension("brand", "part", "p_brand", synonyms=("brands",)),
+            Dimension("part", "part", "p_name", synonyms=("parts", "part name", "product", "products")),
             Dimension("supplier", "supplier", "s_name", synonyms=("suppliers",)),
             Dimension("return_flag", "lineitem", "l_returnflag", synonyms=("returns", "return flag"), values=("A", "N", "R")),
             Dimension(

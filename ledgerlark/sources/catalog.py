@@ -5,6 +5,7 @@ Real schemas replace this mapping in one place; nothing else names a table of a
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +73,33 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, as_of): the latest event time of each system."""
-    parts = [
-        load(spark, sf_dir, s.fresh_table).agg(F.max(s.fresh_column).alias("as_of")).select(F.lit(s.name).alias("source"), "as_of")
-        for s in SOURCES.values()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(source, as_of): the latest event time of each system, from the footers of its files where they tell it."""
+    rows = [(s.name, latest(spark, f"{sf_dir}/{s.fresh_table}.parquet", SCHEMAS[s.fresh_table], s.fresh_column)) for s in SOURCES.values()]
+    return spark.createDataFrame(rows, "source string, as_of timestamp_ntz")
+
+
+def latest(spark: SparkSession, path: str, schema: T.StructType, column: str) -> datetime.datetime | None:
+    """The greatest value of a time column: one number of each row group's footer, or a scan where that can't be had.
+
+    The Parquet reader answers max() from footers for integers, not for times, so the column is read as the integer
+    that it is stored as. That is right if files hold microseconds and their columns stand in the schema's order; a row read
+    both ways and the files' own schema tell whether they do.
+    """
+    # Settings of its own; tables, files and executors are the same.
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    whole = T.StructType([T.StructField(f.name, T.LongType() if f.name == column else f.dataType) for f in schema])
+    as_is = spark.read.schema(schema).parquet(path)
+    if own.read.parquet(path).columns == schema.fieldNames():
+        told = own.read.schema(whole).parquet(path)
+        top = told.agg(F.max(column).alias("x"))
+        plan = top._jdf.queryExecution().executedPlan().toString() if hasattr(top, "_jdf") else ""
+        one = as_is.where(F.col(column).isNotNull()).select(column).first()
+        raw = told.where(F.col(column).isNotNull()).select(column).first()
+        if f"max({column})" in plan and one is not None and _EPOCH + datetime.timedelta(microseconds=raw[0]) == one[0]:
+            return _EPOCH + datetime.timedelta(microseconds=top.first()["x"])
+    return as_is.agg(F.max(column).alias("x")).first()["x"]
+
+
+_EPOCH = datetime.datetime(1970, 1, 1)
