@@ -282,3 +282,19 @@ def bound_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_orders(spark: SparkSession, sf_dir: str, status: str, low: float, high: float) -> DataFrame:
     text = "select o_orderkey, o_totalprice from {orders} where o_orderstatus = :status and o_totalprice between :low and :high"
     return spark.sql(text, args={"status": status, "low": low, "high": high}, orders=load(spark, sf_dir, "orders"))
+
+
+@register(
+    "bound_identifiers",
+    "select c_mktsegment as name, sum(c_acctbal) > 0 as positive, count(*) as n from customer group by 1 order by 3 desc, 1 limit 3",
+)
+def bound_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of tables and columns that a user gives are bound as identifiers."""
+    return largest_groups(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal", 3)
+
+
+def largest_groups(spark: SparkSession, sf_dir: str, table: str, group: str, value: str, k: int) -> DataFrame:
+    load(spark, sf_dir, table).createOrReplaceTempView(f"bound_{table}")
+    text = """select identifier(:group) as name, sum(identifier(:value)) > 0 as positive, count(*) as n
+    from identifier(:table) group by identifier(:group) order by n desc, name limit :k"""
+    return spark.sql(text, args={"table": f"bound_{table}", "group": group, "value": value, "k": k})

@@ -107,9 +107,6 @@ def test_udfs_connectors_and_table_functions(spark, tmp_path):
     df = spark.range(20).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
     df.createOrReplaceTempView("nums")
     assert spark.sql("select g, trimmed_mean(v) as m from nums group by g order by g").first().m == 9
-    spark.dataSource.register(connectors.Records)
-    records = spark.read.format("records").option("rows", 60).load()
-    assert records.count() == 60 and records.rdd.getNumPartitions() == 3
     for fmt in ("parquet", "orc", "json", "csv"):
         connectors.write(df, fmt, f"{tmp_path}/{fmt}")
         assert connectors.read(spark, fmt, f"{tmp_path}/{fmt}", "g long, v double").count() == 20
