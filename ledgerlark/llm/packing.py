@@ -1,8 +1,9 @@
 """Operator 6, best-fit packing of token sequences into bins of several permitted lengths.
 
 A document of n words is one item of n tokens, or, if longer than the largest permitted length, a run of full
-chunks and a rest. Items are dealt by hash into packing groups of about GROUP_ITEMS items, each packed by itself,
-so a group fits a task at any size of the input; the items of a group are lengths and identifiers, never texts.
+chunks and a rest. Equal rows are folded to one with a count, by partial sums, and numbered when they are unfolded, in
+blocks. Items are dealt by hash, the number of the copy included, into packing groups of about GROUP_ITEMS items, each packed by itself,
+so a group fits a task at any size of the input and whatever repeats; the items of a group are lengths and identifiers, never texts.
 
 Inside a group items are placed longest first into the open bin with the least room that still fits (best fit).
 If none fits, a bin is opened at the size of least cost: for each permitted length the cost of a full bin (its length
@@ -86,25 +87,32 @@ def pack(
 ) -> DataFrame:
     """One row for each item of docs(doc_id, text): where it lies in its document, in what bin and where in there."""
     largest = max(capacities)
-    sized = cut(docs.select("doc_id", word_count(F.col("text")).alias("n"), F.xxhash64("doc_id", "text").alias("key")))
-    total = sized.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / largest)))).first()[0] or 0
+    sized = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.xxhash64("doc_id", "text").alias("key"))
+    folded = cut(sized.groupBy("doc_id", "key", "n").agg(F.count("*").alias("copies")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / largest))
+    total = folded.agg(F.sum(F.col("copies") * parts)).first()[0] or 0
     groups = max(1, -(-total // group_items))
-    chunks = sized.withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / largest) - 1).cast("int")))
-    )
+    # Blocks of copies first, so that a row with very many is unfolded by many tasks.
+    last = F.floor((F.col("copies") - 1) / group_items)
+    blocks = folded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if folded.where(F.col("copies") > group_items).limit(1).count():
+        blocks = blocks.repartition("key", "block")
+    first = F.col("block") * group_items
+    unfolded = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + group_items) - 1))).withColumn("copy", F.col("copy").cast("int"))
+    chunks = unfolded.withColumn("chunk", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     items = chunks.select(
         "doc_id",
         "key",
+        "copy",
         "chunk",
         (F.col("chunk").cast("long") * largest).alias("start"),
         F.least(F.lit(largest), F.col("n") - F.col("chunk").cast("long") * largest).cast("int").alias("tokens"),
-        F.pmod(F.xxhash64("key", "chunk", F.lit(6)), F.lit(groups)).cast("int").alias("group"),
+        F.pmod(F.xxhash64("key", "copy", "chunk", F.lit(6)), F.lit(groups)).cast("int").alias("group"),
     )
 
     def of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "key", "chunk"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "key", "copy", "chunk"], kind="stable").reset_index(drop=True)
         bins, offsets, final = best_fit(pdf["tokens"].to_numpy(np.int64), capacities, overhead)
-        pdf["copy"] = pdf.groupby(["doc_id", "key", "chunk"], dropna=False).cumcount()
         pdf["bin"] = [f"{key[0]}-{b}" for b in bins]
         pdf["offset"], pdf["capacity"] = offsets, final[bins]
         by_bin = pdf.sort_values("offset", kind="stable").groupby("bin", sort=False)

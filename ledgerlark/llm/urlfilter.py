@@ -39,6 +39,8 @@ SEPARATOR = "\x00"
 #: Bytes of text, and 64-bit words of state, in a block of URLs that is run at once.
 BLOCK_BYTES = 8_000_000
 BLOCK_WORDS = 2_000_000
+#: Bytes of masks that an executor's Python worker may hold for rules from a table.
+MOST_MASKS = 256_000_000
 
 
 class Automaton:
@@ -73,19 +75,31 @@ class Automaton:
         for i in starts:
             self.first[i // 64] |= np.uint64(1 << (i % 64))
 
-    def run(self, texts: list[bytes]) -> np.ndarray:
-        """matches[i, j]: whether glob j fits text i."""
+    def _blocks(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and matches[i, j], whether glob j fits the i-th of these rows, block by block."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
-        out = np.zeros((len(texts), len(self.globs)), bool)
         # Rows of like length share a block, so a long text pads no other; with many rules a block has fewer rows.
         at = 0
-        while at < len(order):
+        while at < len(order) and self.globs:
             longest = int(lengths[order[at]])
             rows = max(1, min(len(order) - at, BLOCK_BYTES // max(1, longest), BLOCK_WORDS // max(1, self.words)))
             part = order[at : at + rows]
-            out[part] = self._block([texts[i] for i in part], lengths[part])
+            yield part, self._block([texts[i] for i in part], lengths[part])
             at += rows
+
+    def run(self, texts: list[bytes]) -> np.ndarray:
+        """matches[i, j]: whether glob j fits text i."""
+        out = np.zeros((len(texts), len(self.globs)), bool)
+        for part, hit in self._blocks(texts):
+            out[part] = hit
+        return out
+
+    def first_fit(self, texts: list[bytes]) -> np.ndarray:
+        """The first glob that fits each text, or -1; memory does not grow with texts times globs."""
+        out = np.full(len(texts), -1)
+        for part, hit in self._blocks(texts):
+            out[part] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
         return out
 
     def _block(self, texts: list[bytes], lengths: np.ndarray) -> np.ndarray:
@@ -138,16 +152,12 @@ def judge(
                 f".{h.replace(SEPARATOR, '%00')}{SEPARATOR}{p.replace(SEPARATOR, '%00')}".encode("utf-8", "replace")
                 for h, p in zip(hosts, paths, strict=True)
             ]
-            hit = automaton.run(texts)
-            if n:
-                first = np.where(hit[:, :n].any(axis=1), hit[:, :n].argmax(axis=1), -1)
-            else:
-                first = np.full(len(texts), -1)
-            other = np.where(hit[:, n:].any(axis=1), n, n + 1)
+            # Host rules stand first, the longest before others.
+            first = automaton.first_fit(texts)
             yield pd.DataFrame(
                 {
-                    "rule": [names[i] if i >= 0 else None for i in first],
-                    "verdict": verdicts[np.where(first >= 0, first, other)],
+                    "rule": [names[i] if 0 <= i < n else None for i in first],
+                    "verdict": verdicts[np.where(first < 0, n + 1, np.minimum(first, n))],
                 }
             )
 
@@ -155,6 +165,22 @@ def judge(
     return split.withColumn("v", of("host", "path")).select("page_id", "host", "path", "v.rule", "v.verdict")
 
 
+def judge_by(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """judge() by a table rules(rule, verdict): host/path with block or allow, or a glob with `|` and block.
+
+    Every task holds the automaton of all rules, so a table whose masks would take over MOST_MASKS bytes is an error. A
+    host rule that stands there twice blocks if one of its rows says so; null rules and verdicts are not rules.
+    """
+    known = rules.where("rule is not null and verdict in ('block', 'allow')")
+    # A state for each byte of a rule, and a bit of 257 masks for each state.
+    states = known.agg(F.coalesce(F.sum(F.octet_length("rule") + 8), F.lit(0))).first()[0]
+    if states * 257 // 8 > MOST_MASKS:
+        raise ValueError(f"rules of {states} states need masks of over {MOST_MASKS} bytes")
+    found = known.groupBy("rule").agg(F.max("verdict").alias("verdict")).orderBy("rule").collect()
+    globs = tuple(r["rule"] for r in found if "|" in r["rule"] and r["verdict"] == "block")
+    return judge(pages, tuple((r["rule"], r["verdict"]) for r in found if "|" not in r["rule"]), globs)
+
+
 ORACLE = """
 with s as (
   select page_id,

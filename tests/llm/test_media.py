@@ -49,3 +49,20 @@ def test_png_is_a_png():
     png = media.encode(media.padded(b"abc"))
     assert media.decode(png) == b"abc".ljust(64, b"\0")
     assert io.BytesIO(png).read(8) == media.PNG
+
+
+def test_a_lost_member_is_told_by_the_query(spark, sf, monkeypatch):
+    plain = media.write_archives
+
+    def damaged(docs, folder, *args):
+        plain(docs, folder, *args)
+        archive = sorted(glob.glob(f"{folder}/*.tar"))[0]
+        with open(archive, "r+b") as f:
+            f.seek(512 + 20)
+            f.write(b"\xff" * 4000)
+
+    monkeypatch.setattr(media, "write_archives", damaged)
+    rows = media.op5_media(spark, sf).collect()
+    lost = [r for r in rows if r.payload_sha256 is None]
+    assert len(rows) == 200 and 0 < len(lost) < 20 and all(r.error == "checksum differs" for r in lost)
+    assert all(r.error is None for r in rows if r.payload_sha256)

@@ -67,3 +67,18 @@ def test_best_fit_is_the_plain_rule():
         # Bins of equal room are interchangeable, so their number and all rooms agree whichever is taken.
         assert len(final) == len(rooms)
         assert sum(final) == sum(min(c for c in (16, 32, 64) if c >= u) for u in np.bincount(bins, lengths, len(rooms)))
+
+
+def test_equal_rows_spread_over_groups(spark):
+    df = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'five words are in here' as text")
+    got = packing.pack(df).selectExpr("copy", "substring_index(bin, '-', 1) as group", "bin", "tokens", "capacity", "used")
+    sizes = [r["count"] for r in got.groupBy("group").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 1.2 * packing.GROUP_ITEMS
+    assert got.select("copy").distinct().count() == 100_000 == got.count()
+    assert got.where("used > capacity").count() == 0
+
+
+def test_copies_are_unfolded_in_blocks(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 95 + [(2, "d " * 20)] * 11, "doc_id long, text string")
+    got = packing.pack(df, capacities=(8, 16), group_items=10).collect()
+    check([(1, "a b c")] * 95 + [(2, "d " * 20)] * 11, got, (8, 16))

@@ -1,6 +1,9 @@
 import fnmatch
 import random
 import re
+import tracemalloc
+
+import pytest
 
 from ledgerlark.llm import urlfilter
 from ledgerlark.llm.urlfilter import Automaton
@@ -55,3 +58,32 @@ def test_edges(spark):
     got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(df).collect()}
     assert got == dict(enumerate(cases.values()))
     assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_rules_from_a_table(spark, monkeypatch):
+    rules = [("a.com/", "block"), ("a.com/ok/", "allow"), ("b.org/", "allow"), ("b.org/", "block"), ("*|*.zip", "block"), (None, "block"), ("c.net/", "maybe")]
+    table = spark.createDataFrame([(*r, 1) for r in rules], "rule string, verdict string, page_id int")
+    urls = ["http://x.a.com/p", "http://a.com/ok/p", "http://b.org/", "http://d.de/f.zip", "http://c.net/", "http://a.com/ok/f.zip"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.rule, r.verdict) for r in urlfilter.judge_by(pages, table).orderBy("page_id").collect()]
+    assert got == [("a.com/", "block"), ("a.com/ok/", "allow"), ("b.org/", "block"), (None, "block"), (None, "allow"), ("a.com/ok/", "allow")]
+    assert urlfilter.judge_by(pages, table.limit(0)).where("verdict = 'allow'").count() == len(urls)
+    same = spark.createDataFrame(list(urlfilter.HOST_RULES) + [(g, "block") for g in urlfilter.DEFAULT_GLOBS], "rule string, verdict string")
+    assert urlfilter.judge_by(pages, same).exceptAll(urlfilter.judge(pages)).count() == 0
+    monkeypatch.setattr(urlfilter, "MOST_MASKS", 1000)
+    with pytest.raises(ValueError, match="states"):
+        urlfilter.judge_by(pages, table)
+
+
+def test_first_match_takes_no_memory_for_all_pairs():
+    rng = random.Random(3)
+    globs = ["".join(rng.choice("ab*?") for _ in range(6)) for _ in range(3000)]
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode() for _ in range(3000)]
+    automaton = Automaton(globs)
+    tracemalloc.start()
+    first = automaton.first_fit(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150_000_000
+    hit = automaton.run(texts[:200])
+    assert first[:200].tolist() == [int(h.argmax()) if h.any() else -1 for h in hit]
