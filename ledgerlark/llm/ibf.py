@@ -1,6 +1,8 @@
 """Operator 7, document fingerprints as invertible Bloom lookup tables, in DataFrame functions only.
 
-A text is cut into paragraphs: lines, and long lines into pieces of PIECE characters. The set of their XXH64 digests is
+A text is cut into paragraphs: lines, and long lines by their content, behind each word whose digest, taken with the
+next word's, is divisible by PIECE_WORDS, and at the latest after MOST_WORDS words. So a word put in or taken out changes the
+pieces around it only. The set of their XXH64 digests is
 dealt by hash into groups, the least power of two that leaves LOAD digests or fewer to a group on average, and each group
 goes into a table of three rows of CELLS cells; a cell holds how many digests fell into it, their XOR, and the XOR of
 their check values. The fingerprint is the number of digests and these tables. So it grows with the text, and the work
@@ -33,21 +35,45 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.secrets import let
 from ledgerlark.llm.shared import cut, table
 
-PIECE = 200
+PIECE_WORDS = 32
+MOST_WORDS = 128
 LOAD = 12
 CELLS = 32  # in each of the three rows
 RETRIES = (4, 16)  # times as many
 ROUNDS = 16
-CHECK_BITS = 32
-UNIT = rf"[^\n]{{1,{PIECE}}}\n*|\n+"
+CHECK_BITS = 28
+COUNT_BITS = 12  # as written; no cell of LOAD digests on average comes near
+#: A word and the white space behind it, or white space that a text begins with. Java's classes are the contract's.
+UNIT = r"\S++\s*+|^\s++"
 FIRST = (CELLS, 0)  # cells and seed of the tables of a fingerprint
 EMPTY = "-"  # a cell in which nothing fell, in writing
 
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
+
+    def pieces(words: Column, hashes: Column) -> Column:
+        last = F.size(words) - 1
+
+        def is_end(i: Column) -> Column:
+            pair = F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+            return (i == last) | (F.pmod(pair, F.lit(PIECE_WORDS)) == 0) | F.contains(F.get(words, i), F.lit("\n"))
+
+        def between(ends: Column) -> Column:
+            """The digests of the words behind each end, up to the next one, MOST_WORDS at a time."""
+
+            def of(end: Column, i: Column) -> Column:
+                begin = F.coalesce(F.get(ends, i - 1) + 1, F.lit(0))
+                starts = F.sequence(begin, end, F.lit(MOST_WORDS))
+                return F.transform(starts, lambda at: F.xxhash64(F.slice(hashes, at + 1, F.least(F.lit(MOST_WORDS), end + 1 - at))))
+
+            return F.flatten(F.transform(ends, of))
+
+        ends = F.filter(F.sequence(F.lit(0), last), is_end)
+        return F.when(last < 0, F.array().cast("array<long>")).otherwise(F.array_distinct(let(ends, between)))
+
+    words = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    return let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: pieces(ws, hs)))
 
 
 def check_of(key: Column) -> Column:
@@ -249,28 +275,33 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def written(print_: Column) -> Column:
-    """A fingerprint as text: the number of digests, then of each table count, XOR and check of the cells in hexadecimal."""
+    """A fingerprint as text: the number of digests, then of each table count, XOR and check of the cells in base 64."""
+    digits = (COUNT_BITS // 4, 16, CHECK_BITS // 4)  # 13 bytes, 18 characters without padding
 
     def part(x: Column) -> Column:
-        shown = F.concat(F.lpad(F.hex(x["count"]), 4, "0"), F.lpad(F.hex(x["key"]), 16, "0"), F.lpad(F.hex(x["check"]), 8, "0"))
-        return F.when(x["count"] == 0, EMPTY).otherwise(shown)
+        shown = F.concat(*(F.lpad(F.hex(x[c]), n, "0") for c, n in zip(("count", "key", "check"), digits, strict=True)))
+        return F.when(x["count"] == 0, EMPTY).otherwise(F.substring(F.base64(F.unhex(shown)), 1, 18))
 
     tables = F.transform(print_["tables"], lambda t: F.array_join(F.transform(t, part), ""))
-    return F.lower(F.concat(print_["n"].cast("string"), F.lit(":"), F.array_join(tables, "/")))
+    return F.concat(print_["n"].cast("string"), F.lit(":"), F.array_join(tables, "."))
 
 
 def read_back(text: Column) -> Column:
     """The fingerprint that was written so."""
     number = lambda x, at, n: F.conv(F.substring(x, at, n), 16, -10).cast("long")
     zero = F.lit(0).cast("long")
+    ends = (1, 1 + COUNT_BITS // 4, 17 + COUNT_BITS // 4)
 
     def part(x: Column) -> Column:
-        full = cell(number(x, 1, 4).cast("int"), number(x, 5, 16), number(x, 21, 8))
+        full = let(
+            F.hex(F.unbase64(F.concat(x, F.lit("==")))),
+            lambda h: cell(number(h, ends[0], COUNT_BITS // 4).cast("int"), number(h, ends[1], 16), number(h, ends[2], CHECK_BITS // 4)),
+        )
         return F.when(x == EMPTY, cell(F.lit(0), zero, zero)).otherwise(full)
 
     tables = F.transform(
-        F.split(F.substring_index(text, ":", -1), "/"),
-        lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"{EMPTY}|[0-9a-f]{{28}}"), F.lit(0)), part),
+        F.split(F.substring_index(text, ":", -1), r"\."),
+        lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"{EMPTY}|[A-Za-z0-9+/]{{18}}"), F.lit(0)), part),
     )
     n = F.substring_index(text, ":", 1).cast("int")
     keys = F.lit(None).cast("array<long>")

@@ -1,15 +1,31 @@
 import hashlib
 import random
 import re
-import time
 
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import ibf
 
 
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
 def sets(text):
-    return set(re.findall(ibf.UNIT, text or ""))
+    """The pieces of a text, as tuples of words: cut by digests, words and lines, one word after another."""
+    words = re.findall(r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*|^[ \t\n\x0B\f\r]+", text or "")
+    found, piece = set(), []
+    for i, word in enumerate(words):
+        piece.append(word)
+        pair = xx(xx(word.encode()).to_bytes(8, "little"))
+        if i + 1 < len(words):
+            pair = xx(xx(words[i + 1].encode()).to_bytes(8, "little"), pair)
+        signed = pair - (1 << 64) if pair >> 63 else pair
+        if signed % ibf.PIECE_WORDS == 0 or "\n" in word or i + 1 == len(words):
+            found |= {tuple(piece[k : k + ibf.MOST_WORDS]) for k in range(0, len(piece), ibf.MOST_WORDS)}
+            piece = []
+    return found
 
 
 def jaccard(a, b):
@@ -63,16 +79,32 @@ def test_groups_that_fail_are_retried(spark, monkeypatch):
 
 
 def test_work_grows_with_the_text(spark):
-    def seconds(lines):
+    def cells(lines):
         rows = [(i, "\n".join(f"{i} {j}" for j in range(lines))) for i in range(2)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        begun = time.perf_counter()
         assert got(ibf.compare(df)) == brute(rows)
-        return time.perf_counter() - begun
+        prints = F.transform(F.array(ibf.digests(F.col("text"))), ibf.fingerprint)
+        return df.select(F.size(F.flatten(F.get(prints, F.lit(0))["tables"])).alias("n")).first().n
+
+    small, large = cells(2_000), cells(16_000)
+    assert small <= 16 * 2_000 and large <= 8 * small
+
+
+def test_a_word_put_in_changes_the_pieces_around_it_only(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 10))) for _ in range(740)]
+    text = " ".join(words)[:5201]
+    changed = text[:9] + " inserted " + text[9:]
+    df = spark.createDataFrame([(text, changed)], "a string, b string")
+    prints = df.select(*(F.get(F.transform(F.array(ibf.digests(F.col(c))), lambda k: ibf.written(ibf.fingerprint(k))), F.lit(0)).alias(c) for c in "ab"))
+    near = ibf.likeness_of_written(prints, "a", "b").first().near
+    assert near > 0.9 and near == jaccard(sets(text), sets(changed))
+    assert len(prints.first().a) <= len(text) / 2
+
 
-    seconds(500)
-    small, large = seconds(2_000), seconds(16_000)
-    assert large < 20 * small  # eight times the lines; the square would be 64
+def test_fingerprints_are_shorter_than_half_of_long_texts(spark, sf):
+    long = ibf.op7_fingerprints(spark, sf).where("n_chars > 5000").selectExpr("length(fingerprint) / n_chars as share").collect()
+    assert long and sum(r.share for r in long) / len(long) <= 0.5
 
 
 def test_edges(spark):
