@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlark.llm import similar
 
@@ -92,6 +95,28 @@ def test_stages(spark, sf, docs_rows):
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= set(before)
 
 
+CLASHES = ("prediction", "key", "n", "at", "text_key", "row", "target", "copy", "chunk", "bin", "words", "block", "fp", "id", "h")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_at_their_edges(spark, sf, name, stage):
+    """Nulls in any column, empty texts, repeated rows, further columns under the stages' own names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"some words of text number {i} that no other row has {i * 7}", "en" if i % 2 else "fr", f"s{i % 3}", 50) for i in range(40)]
+    rows += [(None, None, None, None, None), (None, "a lone text without any id", None, None, 26), (50, "", "en", None, 0), (51, "  ", None, "s1", 2)]
+    rows += [(52, "twice the same row", "en", "s0", 18)] * 2 + [(53, "long words " * 4000, "en", "s0", 44000)]
+    docs = spark.createDataFrame(rows, schema)
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("x"))
+    out = stage(spark, docs, sf)
+    got = out.collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in rows} and len(got) > 20
+    if name != "pack_sequences":
+        assert out.columns == docs.columns and all(r["key"] == "x" and r["h"] == "x" for r in got)
+        assert set(range(40)) <= {r.doc_id for r in got} or name == "mix_sources"
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 100
