@@ -119,9 +119,9 @@ shape("having", "select o_custkey, count(*) as n from {orders} group by 1 having
 shape(
     "statistics",
     """select event_type, round(stddev_samp(value), 6) as sd, round(var_pop(value), 6) as vp,
-    round(corr(value, user_id), 6) as c, max_by(event_id, event_id) as latest from {events} group by 1""",
+    round(corr(value, user_id), 6) as c, max_by(event_id, struct(ts, event_id)) as latest from {events} group by 1""",
     """select event_type, round(stddev_samp(value), 6) as sd, round(var_pop(value), 6) as vp,
-    round(corr(value, user_id), 6) as c, arg_max(event_id, event_id) as latest from events group by 1""",
+    round(corr(value, user_id), 6) as c, arg_max(event_id, (ts, event_id)) as latest from events group by 1""",
 )
 shape(
     "percentiles",
@@ -209,10 +209,13 @@ shape(
     """select o_orderkey from {orders} o where o_totalprice > (select avg(o_totalprice) * 1.5 from {orders} i
     where i.o_custkey = o.o_custkey)""",
 )
+# Turn by turn from each conversation's first: as many rounds as the longest has turns. operators/recursive.py has no limit of rows.
 shape(
     "recursive_cte",
-    """with recursive r(n, total) as (select 1, cast(1 as bigint) union all select n + 1, total + n + 1 from r where n < 20)
-    select cast(n as bigint) as n, total from r""",
+    """with recursive t as (select conv_id, turn, role, cast(length(text) as bigint) as n from {conversations}),
+    r(conv_id, turn, role, said) as (select conv_id, turn, role, n from t where turn = 0
+      union all select t.conv_id, t.turn, t.role, r.said + t.n from r join t on t.conv_id = r.conv_id and t.turn = r.turn + 1)
+    select conv_id, turn, role, said from r""",
 )
 shape(
     "pipe_syntax",

@@ -96,15 +96,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of one's own; of what each batch gives for a user, the state of the most events is the last."""
-    folder, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        out = refresh.running(_events(spark, sf_dir))
-        refresh.drain(out, f"{folder}/checkpoint", mode="update", sink=sink)
-    finally:
-        spark.conf.set(key, before)
+    folder = _folder(spark)
+    own = spark.newSession()  # its setting is no other query's
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+    out = refresh.running(_events(own, sf_dir))
+    refresh.drain(out, f"{folder}/checkpoint", mode="update", sink=sink)
     given = spark.read.schema(out.schema).parquet(f"{folder}/out/*")
     return given.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("latest", "n").alias("latest"))
 
