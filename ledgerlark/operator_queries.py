@@ -12,6 +12,24 @@ from ledgerlark.sources.catalog import load
 QUERIES, ORACLES, register = registry()
 
 
+@register(
+    "ranks",
+    """select o_orderkey, cast(row_number() over w as bigint) as rn, cast(rank() over (partition by o_orderstatus order by
+    date_trunc('month', o_orderdate)) as bigint) as r, cast(dense_rank() over (partition by o_orderstatus order by
+    date_trunc('month', o_orderdate)) as bigint) as dr, cast(ntile(7) over w as bigint) as nt,
+    percent_rank() over w as pr, cume_dist() over w as cd from orders
+    window w as (partition by o_orderstatus order by o_orderdate, o_orderkey)""",
+)
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three statuses, so a window over each would hold a third of all orders in one task."""
+    month = F.date_trunc("month", "o_orderdate").alias("month")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", month, "o_orderdate")
+    order = ["month", "o_orderdate", "o_orderkey"]
+    out = ordered.ranked(orders, ["o_orderstatus"], order, peers=1, tiles=7, shares_of_order=True)
+    names = {"row_number": "rn", "rank": "r", "dense_rank": "dr", "ntile": "nt", "percent_rank": "pr", "cume_dist": "cd"}
+    return out.select("o_orderkey", *(F.col(c).alias(k) for c, k in names.items()))
+
+
 @register(
     "ranks_in_ranges",
     """select l_orderkey, l_linenumber, l_partkey, row_number() over w as row_number, rank() over p as rank, dense_rank() over p as dense_rank,

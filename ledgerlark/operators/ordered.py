@@ -18,12 +18,14 @@ from ledgerlark.storage import stored
 
 #: Columns of the operators themselves begin like this.
 MARK = "_o_"
+#: About as many rows are dealt into a range, so that a longer order has more ranges and no larger ones.
+RANGE_ROWS = 200_000
 
 
 def _ranged(df: DataFrame, partition: list[str], order: list[Column], ranges: int | None) -> DataFrame:
     """df with the number of each row's range. partition and order are dealt as they sort."""
     keys = [F.col(c) for c in partition] + order
-    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    dealt = df.repartitionByRange(ranges or 1 + df.count() // RANGE_ROWS, *keys)
     return stored(dealt.withColumn(f"{MARK}range", F.spark_partition_id()), "ranges")
 
 
@@ -42,11 +44,20 @@ def _joined(rows: DataFrame, told: DataFrame, partition: list[str]) -> DataFrame
     return rows.join(named, on).drop(*(f"{MARK}p{i}" for i in range(len(partition) + 1)))
 
 
-def ranked(df: DataFrame, partition: list[str], order: list[str], peers: int | None = None, tiles: int | None = None, ranges: int | None = None) -> DataFrame:
+def ranked(
+    df: DataFrame,
+    partition: list[str],
+    order: list[str],
+    peers: int | None = None,
+    tiles: int | None = None,
+    ranges: int | None = None,
+    shares_of_order: bool = False,
+) -> DataFrame:
     """df with row_number, rank, dense_rank, percent_rank, cume_dist and, for tiles, ntile, by ascending order, null first.
 
     rank, dense_rank, percent_rank and cume_dist take rows that are equal in the first `peers` columns of the order (all of
-    it by default) as ties; row_number and ntile follow the whole order. An empty table stays empty.
+    it by default) as ties; row_number and ntile follow the whole order, and so do percent_rank and cume_dist with
+    shares_of_order. An empty table stays empty.
     """
     top = order[: peers or len(order)]
     peer = F.struct(*top)
@@ -60,6 +71,7 @@ def ranked(df: DataFrame, partition: list[str], order: list[str], peers: int | N
         F.rank().over(by_peer).cast("long").alias(f"{MARK}rank"),
         F.dense_rank().over(by_peer).cast("long").alias(f"{MARK}dense"),
         F.count("*").over(by_peer).alias(f"{MARK}upto"),
+        *([F.rank().over(by_order).alias(f"{MARK}order_rank"), F.count("*").over(by_order).alias(f"{MARK}order_upto")] if shares_of_order else []),
     )
     totals = own.groupBy(*here).agg(
         F.count("*").alias("n"),
@@ -93,12 +105,15 @@ def ranked(df: DataFrame, partition: list[str], order: list[str], peers: int | N
     number = F.col("before_n") + F.col(f"{MARK}rn")
     rank = F.when(is_first, F.col("first_from")).otherwise(F.col("before_n") + F.col(f"{MARK}rank"))
     upto = F.when(is_last, F.col("last_to")).when(is_first, F.col("first_to")).otherwise(F.col("before_n") + F.col(f"{MARK}upto"))
+    # Rows that are equal in the whole order lie in one range.
+    share_rank = F.col("before_n") + F.col(f"{MARK}order_rank") if shares_of_order else rank
+    share_upto = F.col("before_n") + F.col(f"{MARK}order_upto") if shares_of_order else upto
     found = {
         "row_number": number,
         "rank": rank,
         "dense_rank": F.col("before_new") - F.col("goes_on") + F.col(f"{MARK}dense"),
-        "percent_rank": F.when(n > 1, (rank - 1) / (n - 1)).otherwise(F.lit(0.0)),
-        "cume_dist": upto / n,
+        "percent_rank": F.when(n > 1, (share_rank - 1) / (n - 1)).otherwise(F.lit(0.0)),
+        "cume_dist": share_upto / n,
     }
     if tiles:
         size, over = F.floor(n / tiles), n % tiles

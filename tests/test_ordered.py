@@ -2,11 +2,13 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlark.catalog_queries import QUERIES
 from ledgerlark.operators import joins, ordered
 
 
@@ -44,6 +46,39 @@ def test_one_partition_value_uses_many_tasks(spark):
     assert ordered.ranked(df.limit(0), ["g"], ["id"]).count() == 0
 
 
+def test_shares_of_the_whole_order(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(9)]), rng.randrange(60)) for _ in range(400)] + [("c", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, x int, y int").repartition(5)
+    got = ordered.ranked(df, ["g"], ["x", "y"], peers=1, ranges=9, shares_of_order=True)
+    full, top = Window.partitionBy("g").orderBy("x", "y"), Window.partitionBy("g").orderBy("x")
+    want = df.select("*", F.rank().over(top).cast("long"), F.percent_rank().over(full), F.cume_dist().over(full))
+    kept = got.select("g", "x", "y", "rank", "percent_rank", "cume_dist")
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_longer_orders_have_more_ranges_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    for n in (1000, 4000):
+        df = spark.range(n).select(F.lit("all").alias("g"), "id")
+        sizes = [r["count"] for r in ordered._ranged(df, ["g"], [F.col("id")], None).groupBy("_o_range").count().collect()]
+        assert len(sizes) > n // 120 and max(sizes) < 300
+
+
+def test_ranks_of_few_statuses_use_many_tasks(spark, monkeypatch):
+    """Three statuses: the tasks that number orders are far more than three, and none has a window over a whole status."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    plan = QUERIES["ranks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    over = re.findall(r"row_number\(\) windowspecdefinition\((.*?)specifiedwindowframe", plan)
+    assert over and all("_o_range" in w for w in over), over
+
+
+def test_peers_of_few_types_are_counted_before_the_window(spark):
+    plan = QUERIES["default_frame_with_peers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [") :]
+    assert below.index("Aggregate [") < below.index("Relation ["), plan
+
+
 @pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
 def test_inequality_join(spark, op):
     rng = random.Random(7)
