@@ -27,6 +27,9 @@ unit stays; a deleted unit takes the white space after it along.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ _CUT = rf"{_WORD}{{{CUT_CHARS}}}(?<![.!?]){_BLANK}++(?={_WORD})"
 UNIT = (
     rf"(?:{_ON}){{0,{UNIT_WORDS - 1}}}+{_END}|(?:{_ON}){{{LEAST_CUT},{UNIT_WORDS - 2}}}?{_CUT}|(?:{_ON}){{{UNIT_WORDS}}}"
 )
+#: A line that is not blank and all white space behind it: so many whole units.
+LINE = r"\S[^\n]*+(?:\n\s*+)?+"
 LEAD = rf"^[{SPACE}]*"
 
 
@@ -79,8 +84,9 @@ def described(docs: DataFrame, window: int) -> DataFrame:
             h = [z[f"h{k}"] for k in range(window)]
             least = F.least(*h) if window > 1 else h[0]
             back = F.lit(0)
+            # The last that none before it is under is the rightmost least.
             for k in range(1, window):
-                back = F.when(h[k] == least, F.lit(k)).otherwise(back)
+                back = F.when(reduce(and_, (h[k] <= h[j] for j in reversed(range(k)))), F.lit(k)).otherwise(back)
             return F.struct((i + back).alias("chosen"), least.alias("print"), F.xxhash64(*h).alias("run"))
 
         return F.transform(F.arrays_zip(*(F.slice(hashes, k + 1, count).alias(f"h{k}") for k in range(window))), of)
@@ -136,7 +142,9 @@ def described(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, n_units, starts, spans): for each text, where windows and lines (at, n) begin that occurred earlier."""
+    """(doc_id, text_key, n_units, begins, starts, spans): for each text, where its lines begin, and where windows and
+    lines (at, n) begin that occurred earlier.
+    """
     spark = docs.sparkSession
     # Written once, as it is counted and joined; only the columns asked for are read again.
     path = fresh_path(spark, "units")
@@ -150,7 +158,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = matched.select("doc_id", "text_key", "print", F.explode(around).alias("w")).where("w.run is not null")
     windows = cut(windows.select("doc_id", "text_key", "print", "w.*"))
     lines = cut(found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.*"))
-    sizes = cut(found.select("doc_id", "text_key", "n_units").distinct())
+    sizes = cut(found.select("doc_id", "text_key", "n_units", F.col("lines.at").alias("begins")).distinct())
     remove(spark, path)  # windows, lines and sizes stand on checkpoints of their own
     passages.release(spark)
     starts = cut(passages.later(windows).select("doc_id", "text_key", "at"))
@@ -159,7 +167,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = passages.later(lines).select("doc_id", "text_key", F.struct("at", "n").alias("span"))
     both = sizes.unionByName(starts, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)
     found = both.groupBy("doc_id", "text_key").agg(
-        F.max("n_units").alias("n_units"), F.collect_set("at").alias("starts"), F.collect_set("span").alias("spans")
+        F.max("n_units").alias("n_units"),
+        F.first("begins", ignorenulls=True).alias("begins"),
+        F.collect_set("at").alias("starts"),
+        F.collect_set("span").alias("spans"),
     )
     found = cut(found)
     del starts, spans, lines, sizes, both
@@ -167,6 +178,40 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found
 
 
+def units_where_needed(text: Column, window: int, least_words: int) -> Column:
+    """The units of a text, of which only lines are cut where a window of starts may delete a part.
+
+    Any other line is deleted or kept whole, so it stands as its first unit, and its other units are empty. What starts and
+    spans delete is the same, as are their words and the text that is left.
+    """
+    many = rf"^(?:\S++\s++){{{max(0, least_words - 1)}}}\S"
+    begins, n_units = F.col("begins"), F.col("n_units")
+
+    def reach(starts: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1))))
+
+    def own(i: Column) -> Column:
+        """The units of line i."""
+        return F.sequence(F.get(begins, i), F.coalesce(F.get(begins, i + 1), n_units) - 1)
+
+    def cut_lines(lines: Column) -> Column:
+        whole = F.filter("spans", lambda s: F.get(lines, F.array_position(begins, s["at"]).cast("int") - 1).rlike(many))
+        by_line = F.flatten(F.transform(whole, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+        # Units that only windows can delete; the windows that hold one, and all units of those, have to be known.
+        open_units = F.array_except(reach(F.col("starts")), by_line)
+        hold = F.flatten(F.transform(open_units, lambda u: F.sequence(u - (window - 1), u)))
+        return let(F.array_distinct(reach(F.array_intersect(F.col("starts"), hold))), lambda known: cut_by(lines, known))
+
+    def cut_by(lines: Column, known: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            as_one = F.transform(own(i), lambda _, k: F.when(k == 0, line).otherwise(F.lit("")))
+            return F.when((F.size(known) > 0) & F.arrays_overlap(known, own(i)), units_of(line)).otherwise(as_one)
+
+        return F.flatten(F.transform(lines, one))
+
+    return let(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), cut_lines)
+
+
 def units_gone(units: Column, window: int, least_words: int) -> Column:
     """The units that those of starts and spans delete that have enough words."""
     many = rf"^(?:\S++\s++){{{max(0, least_words - 1)}}}\S"
@@ -197,11 +242,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_
 
     def cleaned(units: Column, gone: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone)
-        kept = F.concat(F.regexp_extract(text, LEAD, 0), F.array_join(F.transform(left, lambda i: F.get(units, i)), ""))
+        lead = F.when(F.ltrim(F.substring(text, 1, 1), F.lit(passages.BLANK)) == "", F.regexp_extract(text, LEAD, 0)).otherwise("")
+        kept = F.concat(lead, F.array_join(F.transform(left, lambda i: F.get(units, i)), ""))
         return F.struct(F.size(gone).alias("n"), F.when(F.size(gone) == 0, text).otherwise(kept).alias("text"))
 
     with_units = let(
-        units_of(text),
+        units_where_needed(text, window, least_words),
         lambda us: let(units_gone(us, window, least_words), lambda gone: cleaned(us, gone)),
     )
     as_it_is = F.struct(F.lit(0).alias("n"), text.alias("text"))
@@ -220,7 +266,7 @@ def deduplicate_whole(docs: DataFrame) -> DataFrame:
     runs = passages.repeated_runs(read).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("runs"))
     runs = cut(runs)
     passages.release(docs.sparkSession)
-    units = repeats(read).where(F.size("starts") + F.size("spans") > 0).drop("n_units")
+    units = repeats(read).where(F.size("starts") + F.size("spans") > 0).drop("n_units", "begins")
     both = units.unionByName(runs, allowMissingColumns=True)
     cutting = both.groupBy("doc_id", "text_key").agg(
         *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "spans", "runs"))

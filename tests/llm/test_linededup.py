@@ -116,3 +116,26 @@ def test_one_equal_digest_deletes_nothing(spark, monkeypatch):
 
     monkeypatch.setattr(linededup, "described", collided)
     assert {r.row.doc_id: r.text for r in linededup.deduplicate(df).collect()} == dict(enumerate(texts))
+
+
+def test_only_lines_that_windows_touch_are_cut_again(spark):
+    """A line that is deleted or kept whole is not cut into units a second time, and the rows are those of brute force."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(999)}" + rng.choice(["", "", ".", ", "]) for _ in range(n)) + "."
+    shared = [line(rng.choice([3, 9, 40])) for _ in range(12)]
+    rows = []
+    for i in range(30):
+        lines = rng.sample(shared, 4) + [line(25), line(9) + " " + rng.choice(shared) + " " + line(5)]
+        rng.shuffle(lines)
+        rows.append((i, rng.choice(["", "\n ", "\t"]) + rng.choice(["\n", " \n\n  "]).join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_units, r.n_removed, r.text) for r in linededup.deduplicate(df).collect()}
+    assert got == brute(rows)
+    one = spark.createDataFrame(
+        [("A b c. D e f. G h i.\nOne line. It stays. As it is.\n", [0, 3], [0], [(0, 3)], 6)],
+        "text string, begins array<int>, starts array<int>, spans array<struct<at int, n int>>, n_units int",
+    )
+    whole = one.select(linededup.units_where_needed(F.col("text"), 3, 6).alias("u")).first().u
+    assert whole == ["A b c. D e f. G h i.\n", "", "", "One line. It stays. As it is.\n", "", ""]
+    part = one.withColumn("starts", F.array(F.lit(2))).select(linededup.units_where_needed(F.col("text"), 3, 6).alias("u"))
+    assert part.first().u == ["A b c. ", "D e f. ", "G h i.\n", "One line. ", "It stays. ", "As it is.\n"]
